@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, packing, quality, simhash, substring, urls
+from . import ann, html, licences, mixing, packing, pii, quality, simhash, substring, urls
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -17,10 +17,22 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf_dir, "documents")).drop("rate")
+
+
 def op2_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op3_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_read(spark, sf_dir, "embeddings"))
+
+
+def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scrub(_read(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return quality.judge(docs, quality.fit(docs, _read(spark, sf_dir, "labels"))).drop("score")
@@ -39,6 +51,11 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_read(spark, sf_dir, "pages"))
 
 
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return licences.scan(docs, licences.fit(docs)).select("doc_id", F.array_join("licences", ",").alias("licences"), "n_licence_paragraphs")
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_read(spark, sf_dir, "pages"))
 
@@ -48,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": urls.oracle()}
+    return {"op1_mix_sources": mixing.oracle(), "op8_url_filter": urls.oracle()}
