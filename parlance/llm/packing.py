@@ -8,7 +8,10 @@ Ranks come from counts per (bucket, length), so no length, however common, is ga
 
 from __future__ import annotations
 
+import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,46 +90,56 @@ def slots(patterns: list[tuple[dict[int, int], int]]) -> dict[int, tuple[list[in
     return out
 
 
+_ALONE = re.compile(r"\S+(?:\n\S+)*").fullmatch
+
+
 class Encoder:
     """Token ids of texts by a `tokenizers` file, with a bounded memo of space-free chunks.
 
-    A byte-level pre-tokenizer always breaks before a single space between two visible characters, so such texts are
-    encoded chunk by chunk and equal chunks once; a text with adjacent white space, or with space at an end, is encoded
-    as a whole.
+    A byte-level pre-tokenizer always breaks before a single space between two visible characters, so a text is encoded
+    chunk by chunk and equal chunks once. A chunk that is empty, starts or ends with white space, or holds other white
+    space than single line ends, or a special token, has no ids of its own; texts with such a chunk are encoded as a whole.
     """
 
-    def __init__(self, path: str, memo: int = 300_000):
+    def __init__(self, path: str, memo: int = 800_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo, self.most = Tokenizer.from_file(path), {}, memo
+        self.tokenizer, self.most = Tokenizer.from_file(path), memo
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        import regex
-
-        self.unsafe = regex.compile(r"\s\s|^\s|\s\Z|[\x1c-\x1f]| (?=[^\S ])|(?<=[^\S ]) ")
-
-    def _fill(self, chunks: list[str]) -> None:
-        missing = [c for c in dict.fromkeys(chunks) if c not in self.memo]
-        if len(self.memo) + len(missing) > self.most:
-            self.memo.clear()
-            missing = list(dict.fromkeys(chunks))
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memo[c] = np.asarray(e.ids, "<u4").tobytes()
+        self.first: dict[str, bytes | None] = {}
+        self.later: dict[str, bytes | None] = {}
+
+    def _fill(self, memo: dict[str, bytes | None], wanted: set[str], lead: str) -> None:
+        missing = list(wanted.difference(memo))
+        if len(memo) + len(missing) > self.most:  # short chunks come again soonest
+            for chunk in [c for c in memo if len(c) > 6 and c not in wanted]:
+                del memo[chunk]
+            if len(memo) > self.most // 2:
+                for chunk in [c for c in memo if c not in wanted]:
+                    del memo[chunk]
+        alone = [c for c in missing if _ALONE(c)]
+        for special in self.special:
+            alone = [c for c in alone if special not in c]
+        memo.update(dict.fromkeys(missing))
+        for at in range(0, len(alone), 20_000):
+            part = alone[at : at + 20_000]
+            found = self.tokenizer.encode_batch_fast([lead + c for c in part], add_special_tokens=False)
+            memo.update(zip(part, [array("I", e.ids).tobytes() for e in found], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split: list[list[str] | None] = []
-        for text in texts:
-            if self.unsafe.search(text) or any(s in text for s in self.special):
-                split.append(None)
-            else:
-                head, *rest = text.split(" ")
-                split.append([head, *[" " + c for c in rest]])
-        self._fill([c for s in split if s for c in s])
-        get = self.memo.__getitem__
-        whole = iter(self.tokenizer.encode_batch_fast([t for t, s in zip(texts, split, strict=True) if s is None], add_special_tokens=False))
-        return [np.asarray(next(whole).ids, "<u4").tobytes() if s is None else b"".join(map(get, s)) for s in split]
+        split = [text.split(" ") for text in texts]
+        self._fill(self.first, {s[0] for s in split}, "")
+        self._fill(self.later, set().union(*[s[1:] for s in split]), " ")
+        later, out = self.later.__getitem__, []
+        for text, chunks in zip(texts, split, strict=True):
+            parts = [self.first[chunks[0]], *map(later, chunks[1:])]
+            if None in parts:
+                parts = [array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()]
+            out.append(b"".join(parts))
+        if sys.byteorder == "big":
+            out = [np.frombuffer(ids, ">u4").astype("<u4").tobytes() for ids in out]
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
