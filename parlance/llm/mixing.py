@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .common import fresh, join_sized
 
 SEED = 42
-#: A Poisson count is looked for up to this many copies; rates are held to `max_rate`, for which more is never drawn.
-MAX_RATE, MAX_COPIES = 16.0, 80
+#: exp(-rate) must stay a normal double: a source can be repeated this many times on average at most.
+MAX_RATE = 500.0
 _DIGITS = 13  # hex digits of a hash that make a number below 2**52, exact in a double
 
 
@@ -33,7 +33,9 @@ def poisson(rate: Column, u: Column) -> Column:
         return F.struct(F.when(on, s["n"] + 1).otherwise(s["n"]).alias("n"), F.when(on, p).otherwise(s["p"]).alias("p"), F.when(on, s["sum"] + p).otherwise(s["sum"]).alias("sum"))
 
     start = F.struct(F.lit(0).alias("n"), F.exp(-rate).alias("p"), F.exp(-rate).alias("sum"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_COPIES)), start, step)["n"]
+    # No double below 1 lies beyond twelve standard deviations.
+    last = F.floor(rate + 12 * F.sqrt(rate) + 40).cast("int")
+    return F.aggregate(F.sequence(F.lit(1), last), start, step)["n"]
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None, source_col: str, text_col: str, total: float) -> DataFrame:
@@ -58,7 +60,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float =
 
     `weights` are the sources' target shares of the mixture (sources not named get none; None: in proportion to the square
     root of their size); `total` is the mixture's size as a multiple of the corpus. A null source is a source of its own,
-    with weight under the key "". Null and empty texts count as one code point; rows with one id draw one count, so
+    with weight under the key ""; mean rates are held to MAX_RATE. Null and empty texts count as one code point; rows with one id draw one count, so
     repeated rows are repeated alike; an empty table gives no rows. New names that clash get a leading underscore.
     """
     spark = docs.sparkSession
@@ -87,7 +89,7 @@ rates AS (SELECT s, least(sqrt(size) * sizes * 1.0::DOUBLE / (weights * size), {
 steps AS (
   SELECT s, rate, 0 AS n, exp(-rate) AS p, exp(-rate) AS total FROM rates
   UNION ALL
-  SELECT s, rate, n + 1, p * rate / (n + 1), total + p * rate / (n + 1) FROM steps WHERE n < {MAX_COPIES - 1}),
+  SELECT s, rate, n + 1, p * rate / (n + 1), total + p * rate / (n + 1) FROM steps WHERE n < floor(rate + 12 * sqrt(rate) + 40) - 1),
 drawn AS (
   SELECT d.*, r.s, r.rate, CAST({u} AS DOUBLE) / {float(16**_DIGITS)!r}::DOUBLE AS u FROM documents d JOIN rates r ON coalesce(d.source, chr(1)) = r.s),
 copies AS (

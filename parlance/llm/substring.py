@@ -134,7 +134,7 @@ def runs_of(words: Words, window: int, gram: int = GRAM, count: bool = False) ->
 
     With `count` instead of the content how often the minimizer stands in the run: twice in a text that repeats itself.
     """
-    n = len(words)
+    n, gram = len(words), min(gram, window)
     none = {k: np.zeros(0, np.int64) for k in ("mini", "k1", "k2", "text", "start", "windows", "times")}
     if n < window:
         return none
@@ -256,7 +256,7 @@ def covered(n_words: int, spans: list[tuple[int, int]], window: int) -> np.ndarr
     return np.cumsum(change[:-1]) > 0
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, filter_bits: int = 25) -> DataFrame:
     """Remove from every document the words covered by windows that also start elsewhere: doc_id, n_words, n_removed, kept
     (the other words joined by one space) and removed, a list of (start, end) word ranges.
 
@@ -265,7 +265,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     source = source.select("doc_id", F.xxhash64("text").alias("sum"), "text")
-    found = repeats(source, window)
+    found = repeats(source, window, filter_bits)
     same = (source["doc_id"].eqNullSafe(found["doc_id"])) & (source["sum"] == found["sum"])
     joined = source.join(found, same, "left").select(source["doc_id"], "text", "spans")
     ids = source.schema["doc_id"].dataType.simpleString()
