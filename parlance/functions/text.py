@@ -52,6 +52,10 @@ def has_phrase(text_words: list[str], phrase: str) -> int:
     for i in range(len(text_words) - len(words) + 1):
         if text_words[i : i + len(words)] == words:
             return i
+    if len(words) == 1 and len(words[0]) > 5:  # `order key` names `orderkey`
+        for i in range(len(text_words) - 1):
+            if text_words[i] + text_words[i + 1] == words[0]:
+                return i
     return -1
 
 
