@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +46,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
 def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds at most `most_bytes` of `text`, or one row; no text is ever cut."""
     for batch in batches:
-        sizes = [len(v) if v else 0 for v in utf8(batch.column(text))]
+        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
         start, total = 0, 0
         for i, n in enumerate(sizes):
             if total and total + n > most_bytes:

@@ -108,8 +108,11 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.dropped:
-            if self.open and self.open[-1][0] in ("header", "hgroup") and self.region:
-                return
+            for name, _, _ in reversed(self.open):  # of an article's own header only the headings are text
+                if name in HEADINGS:
+                    break
+                if name in ("header", "hgroup"):
+                    return
             self.parts.append(data)
 
 

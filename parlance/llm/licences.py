@@ -90,6 +90,9 @@ def _pairs(text: bytes) -> set[tuple[bytes, bytes]]:
     return set(zip([b"", *words], words, strict=False)) if len(words) < 2 else set(zip(words, words[1:], strict=False))
 
 
+_TEMPLATE_PAIRS = [_pairs(normal(t.encode())) for ts in TEMPLATES.values() for t in ts]
+
+
 def train(background: list[bytes], seed: int = 5, copies: int = 12, rounds: int = 120) -> Classifier:
     """Train on damaged templates and background paragraphs; every fifth row is held out to set the temperature."""
     rng = np.random.default_rng(seed)
@@ -107,12 +110,13 @@ def train(background: list[bytes], seed: int = 5, copies: int = 12, rounds: int
         if not _licensed(t):
             texts.append(t)
             labels.append(len(TEMPLATES))
-    for _ in range(copies * 8):  # single words of templates among others are no licence
-        words = [normal(t.encode()).split() for ts in TEMPLATES.values() for t in ts]
-        pick = [w[rng.integers(0, len(w))] for w in (words[j] for j in rng.integers(0, len(words), 2))]
-        mixed = pick + [filler[j] for j in rng.integers(0, len(filler), 12)]
-        texts.append(b" ".join(mixed[j] for j in rng.permutation(len(mixed))))
-        labels.append(len(TEMPLATES))
+    own = [w for ts in TEMPLATES.values() for t in ts for w in normal(t.encode()).split()]
+    for _ in range(copies * 60):  # words of templates among others are no licence
+        mixed = [own[j] for j in rng.integers(0, len(own), rng.integers(1, 7))] + [filler[j] for j in rng.integers(0, len(filler), rng.integers(2, 13))]
+        text = b" ".join(mixed[j] for j in rng.permutation(len(mixed)))
+        if not _licensed(text):
+            texts.append(text)
+            labels.append(len(TEMPLATES))
     y = np.array(labels)
     held = np.arange(len(y)) % 5 == 4
     text, bucket = features(texts)
@@ -146,7 +150,7 @@ def train(background: list[bytes], seed: int = 5, copies: int = 12, rounds: int
 
 def _licensed(text: bytes) -> bool:
     pairs = _pairs(text)
-    return any(len(pairs & t) >= 0.6 * len(t) for ts in TEMPLATES.values() for t in (_pairs(normal(x.encode())) for x in ts))
+    return any(len(pairs & t) >= 0.6 * len(t) for t in _TEMPLATE_PAIRS)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 400, max_paragraphs: int = 2_000) -> Classifier:

@@ -91,52 +91,91 @@ def slots(patterns: list[tuple[dict[int, int], int]]) -> dict[int, tuple[list[in
 
 
 _ALONE = re.compile(r"\S+(?:\n\S+)*").fullmatch
+_TAILED = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
 
 
 class Encoder:
-    """Token ids of texts by a `tokenizers` file, with a bounded memo of space-free chunks.
+    """Token ids of texts by a `tokenizers` file, with a bounded memo of the pieces of texts.
 
-    A byte-level pre-tokenizer always breaks before a single space between two visible characters, so a text is encoded
-    chunk by chunk and equal chunks once. A chunk that is empty, starts or ends with white space, or holds other white
-    space than single line ends, or a special token, has no ids of its own; texts with such a chunk are encoded as a whole.
+    A byte-level pre-tokenizer always breaks before a single space or line end between two visible characters, after that
+    line end, and between letters and punctuation (but apostrophes). So a text is put together from space-free chunks,
+    chunks from lines, lines from letters and a tail, and the library encodes each distinct part once. A chunk that is
+    empty, or holds other white space, or a special token, has no ids of its own: its text is encoded as a whole.
     """
 
-    def __init__(self, path: str, memo: int = 800_000):
+    def __init__(self, path: str, memo: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), memo
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Ids of parts at a text's or line's start, and of parts after a space.
         self.first: dict[str, bytes | None] = {}
         self.later: dict[str, bytes | None] = {}
+        self.line_end = self._ids(["\n"])[0]
 
-    def _fill(self, memo: dict[str, bytes | None], wanted: set[str], lead: str) -> None:
-        missing = list(wanted.difference(memo))
-        if len(memo) + len(missing) > self.most:  # short chunks come again soonest
-            for chunk in [c for c in memo if len(c) > 6 and c not in wanted]:
-                del memo[chunk]
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        found = (e.ids for at in range(0, len(texts), 20_000) for e in self.tokenizer.encode_batch_fast(texts[at : at + 20_000], add_special_tokens=False))
+        return [array("I", ids).tobytes() for ids in found]
+
+    def _trim(self, memo: dict[str, bytes | None], wanted: set[str]) -> None:
+        """Make room; short parts come again soonest."""
+        if len(memo) + len(wanted) > self.most:
+            for part in [p for p in memo if len(p) > 7 and p not in wanted]:
+                del memo[part]
             if len(memo) > self.most // 2:
-                for chunk in [c for c in memo if c not in wanted]:
-                    del memo[chunk]
-        alone = [c for c in missing if _ALONE(c)]
-        for special in self.special:
-            alone = [c for c in alone if special not in c]
-        memo.update(dict.fromkeys(missing))
-        for at in range(0, len(alone), 20_000):
-            part = alone[at : at + 20_000]
-            found = self.tokenizer.encode_batch_fast([lead + c for c in part], add_special_tokens=False)
-            memo.update(zip(part, [array("I", e.ids).tobytes() for e in found], strict=True))
+                for part in [p for p in memo if p not in wanted]:
+                    del memo[part]
+
+    def _fill(self, first: set[str], later: set[str]) -> None:
+        self._trim(self.first, first)
+        self._trim(self.later, later)
+        lines: list[tuple[dict, str, list[str]]] = []
+        tails: list[tuple[dict, str, str, str]] = []
+        plain: dict[int, list[str]] = {0: [], 1: []}
+
+        def one_line(memo: dict[str, bytes | None], part: str) -> None:
+            m = _TAILED(part)
+            if not m:
+                plain[memo is self.later].append(part)
+                return
+            tails.append((memo, part, m[1], m[2]))
+            for own, piece in ((memo, m[1]), (self.first, m[2])):
+                if piece not in own:
+                    own[piece] = None
+                    plain[own is self.later].append(piece)
+
+        for memo, wanted in ((self.first, first), (self.later, later)):
+            for part in wanted.difference(memo):
+                memo[part] = None
+                if not _ALONE(part) or any(s in part for s in self.special):
+                    continue
+                if "\n" not in part:
+                    one_line(memo, part)
+                    continue
+                split = part.split("\n")
+                lines.append((memo, part, split))
+                for own, piece in ((memo, split[0]), *((self.first, p) for p in split[1:])):
+                    if piece not in own:
+                        own[piece] = None
+                        one_line(own, piece)
+        self.first.update(zip(plain[0], self._ids(plain[0]), strict=True))
+        self.later.update(zip(plain[1], self._ids([" " + p for p in plain[1]]), strict=True))
+        for memo, part, head, tail in tails:
+            memo[part] = memo[head] + self.first[tail]
+        for memo, part, split in lines:
+            memo[part] = self.line_end.join([memo[split[0]], *[self.first[p] for p in split[1:]]])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [text.split(" ") for text in texts]
-        self._fill(self.first, {s[0] for s in split}, "")
-        self._fill(self.later, set().union(*[s[1:] for s in split]), " ")
+        self._fill({s[0] for s in split}, set().union(*[s[1:] for s in split]))
         later, out = self.later.__getitem__, []
         for text, chunks in zip(texts, split, strict=True):
-            parts = [self.first[chunks[0]], *map(later, chunks[1:])]
-            if None in parts:
-                parts = [array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()]
-            out.append(b"".join(parts))
+            try:
+                ids = b"".join([self.first[chunks[0]], *map(later, chunks[1:])])
+            except TypeError:  # a chunk has no ids of its own
+                ids = self._ids([text])[0]
+            out.append(ids)
         if sys.byteorder == "big":
             out = [np.frombuffer(ids, ">u4").astype("<u4").tobytes() for ids in out]
         return out

@@ -39,7 +39,7 @@ def test_fullest_is_the_best_sum_with_the_longest(counts):
 
 
 def test_encoder_equals_the_library():
-    texts = ["plain words here", "", " lead", "trail ", "two  spaces", "a\nb c\n\nd", "tab\tx y", "it's we'll  don't", "x <|endoftext|> y", "nb sp ace   z", "ünï çödé 漢字 🙂 ok", "\n", "a \n b"]
+    texts = ["plain words here", "", " lead", "trail ", "two  spaces", "a\nb c\n\nd", "tab\tx y", "it's we'll  don't", "x <|endoftext|> y", "nb sp ace   z", "ünï çödé 漢字 🙂 ok", "\n", "a \n b", "end.\nNext, line!!\nit's*** 'll\n's x9. 9x, é!\u00d7 \u00d7.", "a.\n", "\na", "$$$ *** &&&"]
     encoder, tokenizer = packing.Encoder(PATH, memo=5), Tokenizer.from_file(PATH)
     for _ in range(2):
         for got, text in zip(encoder.encode(texts), texts, strict=True):
