@@ -9,13 +9,13 @@ Ranks come from counts per (bucket, length), so no length, however common, is ga
 from __future__ import annotations
 
 import re
-import sys
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,7 +100,7 @@ class Encoder:
     A byte-level pre-tokenizer always breaks before a single space or line end between two visible characters, after that
     line end, and between letters and punctuation (but apostrophes). So a text is put together from space-free chunks,
     chunks from lines, lines from letters and a tail, and the library encodes each distinct part once. A chunk that is
-    empty, or holds other white space, or a special token, has no ids of its own: its text is encoded as a whole.
+    empty or holds other white space has no ids of its own: its text is encoded as a whole, as are texts with special tokens.
     """
 
     def __init__(self, path: str, memo: int = 600_000):
@@ -131,53 +131,71 @@ class Encoder:
         self._trim(self.later, later)
         lines: list[tuple[dict, str, list[str]]] = []
         tails: list[tuple[dict, str, str, str]] = []
-        plain: dict[int, list[str]] = {0: [], 1: []}
+        plain: dict[int, set[str]] = {id(self.first): set(), id(self.later): set()}
 
         def one_line(memo: dict[str, bytes | None], part: str) -> None:
             m = _TAILED(part)
-            if not m:
-                plain[memo is self.later].append(part)
-                return
-            tails.append((memo, part, m[1], m[2]))
-            for own, piece in ((memo, m[1]), (self.first, m[2])):
-                if piece not in own:
-                    own[piece] = None
-                    plain[own is self.later].append(piece)
+            if m:
+                head, tail = m.groups()
+                tails.append((memo, part, head, tail))
+                if head not in memo:
+                    plain[id(memo)].add(head)
+                if tail not in self.first:
+                    plain[id(self.first)].add(tail)
+            else:
+                plain[id(memo)].add(part)
 
         for memo, wanted in ((self.first, first), (self.later, later)):
+            new = plain[id(memo)]
             for part in wanted.difference(memo):
-                memo[part] = None
-                if not _ALONE(part) or any(s in part for s in self.special):
-                    continue
-                if "\n" not in part:
-                    one_line(memo, part)
-                    continue
-                split = part.split("\n")
-                lines.append((memo, part, split))
-                for own, piece in ((memo, split[0]), *((self.first, p) for p in split[1:])):
-                    if piece not in own:
-                        own[piece] = None
-                        one_line(own, piece)
-        self.first.update(zip(plain[0], self._ids(plain[0]), strict=True))
-        self.later.update(zip(plain[1], self._ids([" " + p for p in plain[1]]), strict=True))
+                if part.isalpha():
+                    new.add(part)
+                elif "\n" not in part:
+                    if _ALONE(part):
+                        one_line(memo, part)
+                    else:
+                        memo[part] = None
+                elif _ALONE(part):
+                    split = part.split("\n")
+                    lines.append((memo, part, split))
+                    for own, piece in ((memo, split[0]), *((self.first, p) for p in split[1:])):
+                        if piece not in own:
+                            one_line(own, piece)
+                else:
+                    memo[part] = None
+        for memo, lead in ((self.first, ""), (self.later, " ")):
+            parts = list(plain[id(memo)])
+            memo.update(zip(parts, self._ids([lead + p for p in parts] if lead else parts), strict=True))
         for memo, part, head, tail in tails:
             memo[part] = memo[head] + self.first[tail]
         for memo, part, split in lines:
             memo[part] = self.line_end.join([memo[split[0]], *[self.first[p] for p in split[1:]]])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [text.split(" ") for text in texts]
-        self._fill({s[0] for s in split}, set().union(*[s[1:] for s in split]))
-        later, out = self.later.__getitem__, []
-        for text, chunks in zip(texts, split, strict=True):
-            try:
-                ids = b"".join([self.first[chunks[0]], *map(later, chunks[1:])])
-            except TypeError:  # a chunk has no ids of its own
-                ids = self._ids([text])[0]
-            out.append(ids)
-        if sys.byteorder == "big":
-            out = [np.frombuffer(ids, ">u4").astype("<u4").tobytes() for ids in out]
+        """Little-endian unsigned 32-bit ids of each text. Chunks are told apart and ids gathered outside Python."""
+        lists = pa.compute.split_pattern(pa.array(texts, pa.large_string()), " ")
+        offsets = lists.offsets.to_numpy()
+        chunks = lists.flatten()
+        coded = chunks.dictionary_encode()
+        distinct, heads = coded.dictionary.to_pylist(), chunks.take(pa.array(offsets[:-1])).to_pylist()
+        self._fill(set(heads), set(distinct))
+        parts = [*map(self.later.__getitem__, distinct), *map(self.first.__getitem__, heads)]
+        which = coded.indices.to_numpy().astype(np.int64)
+        which[offsets[:-1]] = len(distinct) + np.arange(len(heads))
+        alone = np.fromiter((p is not None for p in parts), bool, len(parts))
+        size = np.fromiter((len(p) // 4 if p else 0 for p in parts), np.int64, len(parts))
+        every = np.frombuffer(b"".join(p or b"" for p in parts), np.uint32)
+        length = size[which]
+        end = np.cumsum(length)
+        ids = every[np.repeat((np.cumsum(size) - size)[which] - (end - length), length) + np.arange(int(length.sum()))].astype("<u4")
+        bounds = np.concatenate([[0], end])[offsets]
+        whole = np.logical_or.reduceat(~alone[which], offsets[:-1]) if texts else np.zeros(0, bool)
+        out = []
+        for i, text in enumerate(texts):
+            if whole[i] or any(s in text for s in self.special):
+                out.append(np.frombuffer(self._ids([text])[0], np.uint32).astype("<u4").tobytes())
+            else:
+                out.append(ids[bounds[i] : bounds[i + 1]].tobytes())
         return out
 
 
@@ -198,7 +216,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         if tokenizer not in _ENCODERS:
             _ENCODERS[tokenizer] = Encoder(tokenizer)
-        for batch in slices(batches, "text", 2_000_000):
+        for batch in slices(batches, "text", 4_000_000):
             texts = [(t or b"").decode("utf-8", "replace") for t in utf8(batch.column("text"))]
             rows: list[tuple] = []
             for d, ids in enumerate(_ENCODERS[tokenizer].encode(texts)):
