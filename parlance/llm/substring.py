@@ -5,7 +5,8 @@ k-grams), so equal windows always meet, wherever they stand; runs of windows wit
 minimizer is met once in the whole corpus cannot repeat and are not shipped; equal runs are counted and shipped once. A
 shard concatenates its runs' words, builds a suffix array, a BWT and a bit-packed wavelet matrix with rank counters, and
 searches each window backwards, all windows of a shard at once: the matching statistic of a window's end is how far
-the search gets with two or more occurrences, and a window is reported when it reaches the full length. A shard too large
+the search gets with two or more occurrences, and a window is reported when it reaches the full length. A minimizer with more than `hot_runs` different runs is dealt once more, window by window, by the hash
+of each window's ends, after equal windows are counted together. A shard too large
 for one index is cut into blocks, and its windows stream through the index of each, so memory is bounded.
 """
 
@@ -172,7 +173,7 @@ def _filter(minis: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def repeats(docs: DataFrame, window: int = 35, filter_bits: int = 25) -> DataFrame:
+def repeats(docs: DataFrame, window: int = 35, filter_bits: int = 25, hot_runs: int = 1_000) -> DataFrame:
     """Spans of repeated windows: (doc_id, sum, spans) with spans a list of (start word, mask), for a table (doc_id, sum, text).
 
     `sum` is a hash of the text, so rows that share an id are told apart unless they are alike, when they share spans.
@@ -201,46 +202,76 @@ def repeats(docs: DataFrame, window: int = 35, filter_bits: int = 25) -> DataFra
     found = docs.mapInArrow(shipped, f"mini long, k1 long, k2 long, doc_id {id_type}, sum long, start int, windows int")
     found = cut(found.join(twice, "mini", "left_semi"), "runs")
     distinct = found.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "sum", "start", "windows", "mini")).alias("r")).select("k1", "k2", "n", "r.*")
-    wanted = distinct.groupBy("doc_id", "sum").agg(F.collect_list(F.struct("mini", "k1", "k2", "n", "start", "windows")).alias("wanted"))
+    distinct = cut(distinct, "distinct")
+    # A minimizer with very many different runs, as where a common passage begins and ends, would make one huge shard.
+    hot = distinct.groupBy("mini").count().where(F.col("count") > hot_runs).select("mini", F.lit(True).alias("hot"))
+    distinct = distinct.join(hot, "mini", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    wanted = distinct.groupBy("doc_id", "sum").agg(F.collect_list(F.struct("mini", "k1", "k2", "n", "start", "windows", "hot")).alias("wanted"))
 
     def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1_000_000):
-            words = Words(utf8(batch.column("text")), hashes=False)
             own = batch.column("wanted")
             text = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(own).to_numpy(zero_copy_only=False))
             rows = own.flatten()
+            warm = rows.field("hot").to_numpy(zero_copy_only=False)
+            words = Words(utf8(batch.column("text")), hashes=bool(warm.any()))
             start = words.first[text] + rows.field("start").to_numpy()
-            end = start + rows.field("windows").to_numpy() + window - 1
-            content = [words.bytes_of(a, b) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(rows.field(k) for k in ("mini", "k1", "k2", "n")), pa.array(content, pa.binary())], ["mini", "k1", "k2", "n", "content"])
-
-    # Alike rows give the same runs; one of them is enough.
+            windows = rows.field("windows").to_numpy().astype(np.int64)
+            cold = np.flatnonzero(~warm)
+            yield parts(rows, cold, words, start[cold], start[cold] + windows[cold] + window - 1, np.zeros(len(cold), np.int64))
+            hot = np.flatnonzero(warm)
+            if len(hot):
+                which = np.repeat(hot, windows[hot])
+                place = np.arange(len(which)) - np.repeat(np.cumsum(windows[hot]) - windows[hot], windows[hot])
+                yield parts(rows, which, words, start[which] + place, start[which] + place + window, place)
+
+    def parts(rows: pa.Array, which: np.ndarray, words: Words, start: np.ndarray, end: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+        """Words start..end-1 of each chosen run; windows of hot runs get hashes of their own, and of their ends."""
+        content = [words.bytes_of(a, b) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        chosen = rows.take(pa.array(which))
+        mini, k1, k2 = (chosen.field(k) for k in ("mini", "k1", "k2"))
+        sub, w1, w2 = pa.nulls(len(which), pa.int64()), k1, k2
+        if len(which) and chosen.field("hot")[0].as_py():
+            gram = min(GRAM, window)
+            sub = pa.array((words.runs(start, start + gram) ^ words.runs(end - gram, end, PAIR_BASE)).view(np.int64))
+            w1, w2 = pa.array(words.runs(start, end).view(np.int64)), pa.array(words.runs(start, end, PAIR_BASE).view(np.int64))
+        return pa.RecordBatch.from_arrays([mini, sub, w1, w2, k1, k2, pa.array(place.astype(np.int32)), chosen.field("n"), pa.array(content, pa.binary())], ["mini", "sub", "w1", "w2", "k1", "k2", "place", "n", "content"])
+
+    # Alike rows give the same runs; the copies fall away below.
     same = (docs["doc_id"].eqNullSafe(wanted["doc_id"])) & (docs["sum"] == wanted["sum"])
-    content = docs.join(wanted, same).select(docs["text"], "wanted").mapInArrow(fetched, "mini long, k1 long, k2 long, n long, content binary")
-    dealt = content.repartition("mini").sortWithinPartitions("mini", "k1", "k2")
+    content = docs.join(wanted, same).select(docs["text"], "wanted").mapInArrow(fetched, "mini long, sub long, w1 long, w2 long, k1 long, k2 long, place int, n long, content binary")
+    content = cut(content, "content")
+    cold = content.where("sub IS NULL").select("mini", F.lit(0).cast("long").alias("sub"), F.lit(False).alias("part"), "w1", "w2", "n", "content")
+    windows = content.where("sub IS NOT NULL")
+    once = windows.groupBy("mini", "sub", "w1", "w2", "k1", "k2", "place").agg(F.first("n").alias("n"), F.first("content").alias("content"))
+    warm = once.groupBy("mini", "sub", "w1", "w2").agg(F.sum("n").alias("n"), F.first("content").alias("content")).select("mini", "sub", F.lit(True).alias("part"), "w1", "w2", "n", "content")
+    dealt = cold.unionByName(warm).repartition("mini", "sub").sortWithinPartitions("mini", "sub", "w1", "w2")
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def search(rows: list[tuple]) -> pa.RecordBatch:
-            masks = repeated([r[4] for r in rows], np.array([r[3] for r in rows], np.int64), window)
-            kept = [(r[1], r[2], m) for r, m in zip(rows, masks, strict=True) if m]
-            cols = list(zip(*kept, strict=True)) if kept else [[], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["k1", "k2", "mask"])
+            masks = repeated([r[6] for r in rows], np.array([r[5] for r in rows], np.int64), window)
+            kept = [(r[2], r[3], r[4], m) for r, m in zip(rows, masks, strict=True) if m]
+            cols = list(zip(*kept, strict=True)) if kept else [[], [], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.bool_()), *(pa.array(c, pa.int64()) for c in cols[1:])], ["part", "w1", "w2", "mask"])
 
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if held and row[1:3] == held[-1][1:3]:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if held and row[:5] == held[-1][:5]:
                     continue
-                if size > INDEX_WORDS // 2 and row[0] != held[-1][0]:
+                if size > INDEX_WORDS // 2 and row[:2] != held[-1][:2]:
                     yield search(held)
                     held, size = [], 0
                 held.append(row)
-                size += row[4].count(b" ") + 1
+                size += row[6].count(b" ") + 1
         if held:
             yield search(held)
 
-    masks = cut(dealt.mapInArrow(searched, "k1 long, k2 long, mask long"), "masks")
+    hits = cut(dealt.mapInArrow(searched, "part boolean, w1 long, w2 long, mask long"), "masks")
+    of_runs = hits.where("NOT part").select(F.col("w1").alias("k1"), F.col("w2").alias("k2"), "mask")
+    of_parts = windows.select("w1", "w2", "k1", "k2", "place").join(hits.where("part"), ["w1", "w2"]).groupBy("k1", "k2").agg(F.expr("bit_or(shiftleft(1L, place))").alias("mask"))
+    masks = of_runs.unionByName(of_parts)
     return found.join(masks, ["k1", "k2"]).select("doc_id", "sum", "start", "mask").distinct().groupBy("doc_id", "sum").agg(F.collect_list(F.struct("start", "mask")).alias("spans"))
 
 
@@ -256,7 +287,7 @@ def covered(n_words: int, spans: list[tuple[int, int]], window: int) -> np.ndarr
     return np.cumsum(change[:-1]) > 0
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, filter_bits: int = 25) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, filter_bits: int = 25, hot_runs: int = 1_000) -> DataFrame:
     """Remove from every document the words covered by windows that also start elsewhere: doc_id, n_words, n_removed, kept
     (the other words joined by one space) and removed, a list of (start, end) word ranges.
 
@@ -265,7 +296,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     source = source.select("doc_id", F.xxhash64("text").alias("sum"), "text")
-    found = repeats(source, window, filter_bits)
+    found = repeats(source, window, filter_bits, hot_runs)
     same = (source["doc_id"].eqNullSafe(found["doc_id"])) & (source["sum"] == found["sum"])
     joined = source.join(found, same, "left").select(source["doc_id"], "text", "spans")
     ids = source.schema["doc_id"].dataType.simpleString()

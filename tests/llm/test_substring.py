@@ -64,8 +64,8 @@ def test_documents_against_brute_force(spark):
     rows += [(200, "same " * 200), (201, ("one two three four five " * 30)), (202, None), (203, ""), (204, "a b"), (205, rows[0][1]), (205, rows[0][1]), (205, rows[1][1]), (None, passage), (None, "tiny")]
     rows += [(300, passage[: len(passage) // 2]), (301, " ".join(passage.split()[10:50])), (302, "été " * 50)]
     table = spark.createDataFrame([(*r, 1, "s") for r in rows], "doc_id long, text string, sum long, n_words string")
-    for window in (35, 12):
-        got = substring.dedup(table, window=window, filter_bits=12).collect()
+    for window, hot_runs in ((35, 1000), (12, 1000), (35, 2), (12, 1)):
+        got = substring.dedup(table, window=window, filter_bits=12, hot_runs=hot_runs).collect()
         assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got), key=str) == brute(rows, window)
     for r in got:
         assert sum(s.end - s.start for s in r.removed) == r.n_removed
