@@ -129,7 +129,7 @@ def singular(word: str) -> str:
         return word[:-3] + "y"
     if word.endswith(("ses", "xes", "zes", "ches", "shes")):
         return word[:-2]
-    return word[:-1] if word.endswith("s") and not word.endswith("ss") else word
+    return word[:-1] if word.endswith("s") and not word.endswith(("ss", "us", "is")) else word
 
 
 def plural(word: str) -> str:
