@@ -103,7 +103,7 @@ class Encoder:
     empty or holds other white space has no ids of its own: its text is encoded as a whole, as are texts with special tokens.
     """
 
-    def __init__(self, path: str, memo: int = 600_000):
+    def __init__(self, path: str, memo: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), memo
