@@ -154,8 +154,12 @@ def _licensed(text: bytes) -> bool:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 400, max_paragraphs: int = 2_000) -> Classifier:
-    """Train with paragraphs of at most `max_docs` documents, chosen by a hash of the id, as the unknown class."""
-    rows = docs.where(F.col(text_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(max_docs)
+    """Train with paragraphs of at most `max_docs` documents, chosen by a hash of the id, as the unknown class.
+
+    Only the chosen ids are sorted and broadcast (the parameter bounds them); texts stay where they are read.
+    """
+    chosen = docs.select(F.col(id_col).alias("__id")).where("__id IS NOT NULL").distinct().orderBy(F.xxhash64("__id"), "__id").limit(max_docs)
+    rows = docs.join(F.broadcast(chosen), docs[id_col] == chosen["__id"], "left_semi")
     lines = rows.select(F.explode(F.split(F.col(text_col).cast("string"), "\n")).alias("line")).where(F.length("line") > 0)
     found = lines.orderBy(F.xxhash64("line"), "line").limit(max_paragraphs).collect()
     return train([n for n in (normal(r["line"].encode("utf-8", "replace")) for r in found) if n])
