@@ -146,7 +146,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(finite & F.exists("vec", lambda e: e != 0))
 
 
-def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, sample: int = 10_000, rerank: int = 256, block: int = 16_384, query_block: int = 16_384) -> DataFrame:
+def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, sample: int = 10_000, rerank: int = 600, block: int = 16_384, query_block: int = 16_384) -> DataFrame:
     """The k rows with the largest inner product for each row whose id is divisible by `every`: query_id, rank, vec_id, score.
 
     The quantiser sees at most `sample` rows, chosen by a hash of the id; every row is indexed and scanned. Vectors that are
