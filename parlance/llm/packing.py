@@ -19,7 +19,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, slices, utf8
+from .common import cut, slices
 
 
 def fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -94,6 +94,9 @@ _ALONE = re.compile(r"\S+(?:\n\S+)*").fullmatch
 _TAILED = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
 
 
+_WORD = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+
+
 class Encoder:
     """Token ids of texts by a `tokenizers` file, with a bounded memo of the pieces of texts.
 
@@ -103,18 +106,25 @@ class Encoder:
     empty or holds other white space has no ids of its own: its text is encoded as a whole, as are texts with special tokens.
     """
 
-    def __init__(self, path: str, memo: int = 500_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, memo: int = 600_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.most = Tokenizer.from_file(path), memo
+        # Words alone are one pre-token each, and each is asked for once: no pattern and no cache are needed for them.
+        self.words = Tokenizer.from_file(path)
+        self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        model = self.words.model
+        model._resize_cache(0)
+        self.words.model = model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: Ids of parts at a text's or line's start, and of parts after a space.
         self.first: dict[str, bytes | None] = {}
         self.later: dict[str, bytes | None] = {}
         self.line_end = self._ids(["\n"])[0]
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = (e.ids for at in range(0, len(texts), 20_000) for e in self.tokenizer.encode_batch_fast(texts[at : at + 20_000], add_special_tokens=False))
+    def _ids(self, texts: list[str], words: bool = False) -> list[bytes]:
+        tokenizer = self.words if words else self.tokenizer
+        found = (e.ids for at in range(0, len(texts), 20_000) for e in tokenizer.encode_batch_fast(texts[at : at + 20_000], add_special_tokens=False))
         return [array("I", ids).tobytes() for ids in found]
 
     def _trim(self, memo: dict[str, bytes | None], wanted: set[str]) -> None:
@@ -164,16 +174,19 @@ class Encoder:
                 else:
                     memo[part] = None
         for memo, lead in ((self.first, ""), (self.later, " ")):
-            parts = list(plain[id(memo)])
-            memo.update(zip(parts, self._ids([lead + p for p in parts] if lead else parts), strict=True))
+            words = [p for p in plain[id(memo)] if _WORD(p)]
+            others = list(plain[id(memo)].difference(words))
+            memo.update(zip(words, self._ids([lead + p for p in words], True), strict=True))
+            memo.update(zip(others, self._ids([lead + p for p in others]), strict=True))
         for memo, part, head, tail in tails:
             memo[part] = memo[head] + self.first[tail]
         for memo, part, split in lines:
             memo[part] = self.line_end.join([memo[split[0]], *[self.first[p] for p in split[1:]]])
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text. Chunks are told apart and ids gathered outside Python."""
-        lists = pa.compute.split_pattern(pa.array(texts, pa.large_string()), " ")
+        column = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        lists = pa.compute.split_pattern(column, " ")
         offsets = lists.offsets.to_numpy()
         chunks = lists.flatten()
         coded = chunks.dictionary_encode()
@@ -189,13 +202,12 @@ class Encoder:
         end = np.cumsum(length)
         ids = every[np.repeat((np.cumsum(size) - size)[which] - (end - length), length) + np.arange(int(length.sum()))].astype("<u4")
         bounds = np.concatenate([[0], end])[offsets]
-        whole = np.logical_or.reduceat(~alone[which], offsets[:-1]) if texts else np.zeros(0, bool)
-        out = []
-        for i, text in enumerate(texts):
-            if whole[i] or any(s in text for s in self.special):
-                out.append(np.frombuffer(self._ids([text])[0], np.uint32).astype("<u4").tobytes())
-            else:
-                out.append(ids[bounds[i] : bounds[i + 1]].tobytes())
+        whole = np.logical_or.reduceat(~alone[which], offsets[:-1]) if len(column) else np.zeros(0, bool)
+        for special in self.special:
+            whole |= pa.compute.match_substring(column, special).to_numpy(zero_copy_only=False)
+        out = [ids[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        for i in np.flatnonzero(whole).tolist():
+            out[i] = np.frombuffer(self._ids([column[i].as_py()])[0], np.uint32).astype("<u4").tobytes()
         return out
 
 
@@ -216,10 +228,9 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         if tokenizer not in _ENCODERS:
             _ENCODERS[tokenizer] = Encoder(tokenizer)
-        for batch in slices(batches, "text", 4_000_000):
-            texts = [(t or b"").decode("utf-8", "replace") for t in utf8(batch.column("text"))]
+        for batch in slices(batches, "text", 6_000_000):
             rows: list[tuple] = []
-            for d, ids in enumerate(_ENCODERS[tokenizer].encode(texts)):
+            for d, ids in enumerate(_ENCODERS[tokenizer].encode(pa.compute.fill_null(batch.column("text"), ""))):
                 ids += ends
                 n = len(ids) // 4
                 at, piece, size = 0, 0, n % capacity or capacity
