@@ -20,7 +20,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, utf8
+from .common import cut, join_sized, slices, utf8
 from .textvec import PAIR_BASE, Words
 
 #: Words in a minimizer's k-gram, windows in a run at most, and words in one index at most.
@@ -205,7 +205,7 @@ def repeats(docs: DataFrame, window: int = 35, filter_bits: int = 25, hot_runs:
     distinct = cut(distinct, "distinct")
     # A minimizer with very many different runs, as where a common passage begins and ends, would make one huge shard.
     hot = distinct.groupBy("mini").count().where(F.col("count") > hot_runs).select("mini", F.lit(True).alias("hot"))
-    distinct = distinct.join(hot, "mini", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    distinct = join_sized(distinct, hot, ["mini"]).withColumn("hot", F.coalesce("hot", F.lit(False)))
     wanted = distinct.groupBy("doc_id", "sum").agg(F.collect_list(F.struct("mini", "k1", "k2", "n", "start", "windows", "hot")).alias("wanted"))
 
     def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
