@@ -192,6 +192,16 @@ def links(distinct: DataFrame, radius: int = 3, tile: int = 8192, block: int = 1
     return dealt.select("fp", "choice", "key", "i", "j").mapInArrow(run, "u long, v long")
 
 
+def named(each: DataFrame, distinct: DataFrame, linked: DataFrame) -> DataFrame:
+    """`each` with component_id: the least id of the fp values that `linked` (node, root) connects."""
+    members = linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct())
+    inside = members.join(distinct, members["node"] == distinct["fp"])
+    named = inside.groupBy("root").agg(F.min("least").alias("component_id"))
+    known = members.join(named, "root").select(F.col("node").alias("fp"), "component_id")
+    labels = distinct.join(known, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    return each.join(labels, "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
     """Fingerprint and component of every document: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -202,9 +212,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each = cut(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     distinct = cut(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     linked = components(links(distinct.select("fp"), radius))
-    members = linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct())
-    inside = members.join(distinct, members["node"] == distinct["fp"])
-    named = inside.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = members.join(named, "root").select(F.col("node").alias("fp"), "component_id")
-    labels = distinct.join(known, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return each.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return named(each, distinct, linked).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
