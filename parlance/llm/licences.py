@@ -1,6 +1,7 @@
 """Licence scan: a paragraph classifier on sparse word n-grams, an unknown class, and comparison with templates.
 
-A paragraph is a line that holds a word. Multinomial logistic regression over hashed one- and two-word features is trained
+A paragraph is a line that holds a word, or several lines in a row without an empty one between them, as licence texts are
+wrapped. Multinomial logistic regression over hashed one- and two-word features is trained
 here on the templates below, on damaged copies of them, and on a bounded sample of the corpus as the unknown class; its
 temperature is set on held-out rows. A family is reported for a paragraph if its probability passes the threshold and a
 template of that family confirms it: enough of the template's word pairs stand in the paragraph.
@@ -36,6 +37,8 @@ TEMPLATES = {
     "unlicense": ("Released under the Unlicense.", "This is free and unencumbered software released into the public domain."),
 }
 UNKNOWN = "unknown"
+#: The GNU notices share most of their words: a run of lines is one of these only with a word of its name.
+NAMED = {"agpl": {b"affero"}, "lgpl": {b"lesser", b"library"}}
 FAMILIES = (*TEMPLATES, UNKNOWN)
 BUCKETS = 1 << 14
 #: Punctuation that a word may carry at its ends.
@@ -91,6 +94,45 @@ def _pairs(text: bytes) -> set[tuple[bytes, bytes]]:
 
 
 _TEMPLATE_PAIRS = [_pairs(normal(t.encode())) for ts in TEMPLATES.values() for t in ts]
+_HOLDERS = {pair: [t for t, pairs in enumerate(_TEMPLATE_PAIRS) if pair in pairs] for pairs in _TEMPLATE_PAIRS for pair in pairs}
+#: A wrapped template fills the lines between the first and the last of its own: these hold no more than twice its words.
+_INNER = 2 * max(len(normal(t.encode()).split()) for ts in TEMPLATES.values() for t in ts)
+
+
+def windows(lines: list[list[bytes]], confirm: float) -> list[tuple[int, int]]:
+    """(first, last) of each line and run of lines of one paragraph that hold a share `confirm` of a template's word pairs."""
+    hits: list[tuple[int, int, tuple[bytes, bytes]]] = []
+    before = None
+    for i, words in enumerate(lines):
+        if not words:
+            before = None
+            continue
+        if before is not None and (before, words[0]) in _HOLDERS:
+            hits.append((i - 1, i, (before, words[0])))
+        hits += [(i, i, p) for p in zip(words, words[1:], strict=False) if p in _HOLDERS]
+        before = words[-1]
+    out = []
+    for k, (a, _, _) in enumerate(hits):
+        if k and hits[k - 1][0] == a:
+            continue
+        seen: set[tuple[bytes, bytes]] = set()
+        held = [0] * len(_TEMPLATE_PAIRS)
+        inner, at, enough = 0, a, False
+        for n in range(k, len(hits)):
+            _, b, pair = hits[n]
+            while at < b and lines[at + 1] and inner <= _INNER:
+                inner += len(lines[at]) if at > a else 0
+                at += 1
+            if at < b or inner > _INNER:
+                break
+            if pair not in seen:
+                seen.add(pair)
+                for t in _HOLDERS[pair]:
+                    held[t] += 1
+                    enough |= held[t] / len(_TEMPLATE_PAIRS[t]) >= confirm
+            if enough and (n + 1 == len(hits) or hits[n + 1][1] > b):
+                out.append((a, b))
+    return out
 
 
 def train(background: list[bytes], seed: int = 5, copies: int = 12, rounds: int = 120) -> Classifier:
@@ -167,7 +209,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_doc
 
 def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, confirm: float = 0.6) -> DataFrame:
     """Licences of every document, from every paragraph of its whole text: doc_id, licences (families in order of name),
-    n_licence_paragraphs, and found, a list of (paragraph, family, probability, similarity).
+    n_licence_paragraphs, and found, a list of (paragraph, family, probability, similarity). A paragraph that spans lines
+    has the number of its first one, and is listed only for a family that none of its lines gives alone.
 
     Documents without licences, null and empty texts have empty lists; null ids and repeated rows pass through; an empty
     table gives no rows; other columns are not read.
@@ -178,23 +221,31 @@ def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1_000_000):
-            lines: list[bytes] = []
-            owner: list[tuple[int, int]] = []
+            texts: list[bytes] = []
+            owner: list[tuple[int, int, int]] = []
             for d, text in enumerate(utf8(batch.column("text"))):
-                for i, line in enumerate(text.split(b"\n")) if text else ():
-                    lines.append(line)
-                    owner.append((d, i))
+                lines = text.split(b"\n") if text else []
+                words = [normal(line).split() for line in lines]
+                for first, last in sorted(windows(words, confirm), key=lambda w: (w[1] - w[0], w)):
+                    if any(_KEYS(line) for line in lines[first : last + 1]):
+                        texts.append(b" ".join(w for ws in words[first : last + 1] for w in ws))
+                        owner.append((d, first, last))
             found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            near = [j for j, line in enumerate(lines) if _KEYS(line)]
-            texts = [normal(lines[j]) for j in near]
+            spans: list[list[tuple[str, int, int]]] = [[] for _ in range(batch.num_rows)]
             if texts:
                 p = model.probabilities(texts)
-                for j, text, row in zip(near, texts, p, strict=True):
+                for (d, first, last), text, row in zip(owner, texts, p, strict=True):
                     c = int(row[:-1].argmax())
-                    if text and row[c] >= least:
+                    # Shorter runs come first: a run adds a family only where none of its lines gave it.
+                    if last > first and FAMILIES[c] in NAMED and NAMED[FAMILIES[c]].isdisjoint(text.split()):
+                        continue
+                    if row[c] >= least and not any(f == FAMILIES[c] and a <= last and first <= b for f, a, b in spans[d]):
                         like = model.similarity(FAMILIES[c], text)
                         if like >= confirm:
-                            found[owner[j][0]].append({"paragraph": owner[j][1], "family": FAMILIES[c], "probability": float(row[c]), "similarity": like})
+                            spans[d].append((FAMILIES[c], first, last))
+                            found[d].append({"paragraph": first, "family": FAMILIES[c], "probability": float(row[c]), "similarity": like})
+            for fs in found:
+                fs.sort(key=lambda f: f["paragraph"])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([sorted({f["family"] for f in fs}) for fs in found], pa.list_(pa.string())), pa.array([len(fs) for fs in found], pa.int64()), pa.array(found, pa.list_(item))], ["doc_id", "licences", "n_licence_paragraphs", "found"])
 
     return source.mapInArrow(run, schema)

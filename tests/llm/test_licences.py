@@ -58,3 +58,38 @@ def test_sample_table(spark, sf001):
     want = {r.doc_id: sorted(f for f, p in phrases.items() if p.lower() in r.text.lower()) for r in docs.collect()}
     got = {r.doc_id: r.licences for r in licences.scan(docs, licences.fit(docs)).collect()}
     assert got == want
+
+
+BSD = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+GPL = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+MIT = "# Permission is hereby\n# granted, free of charge,\n# to any person obtaining\n# a copy of this software\n# and associated\n# documentation files"
+
+
+def test_wrapped_licences(spark, model):
+    rows = [(1, "Copyright 2020\n\n" + BSD + "\n\nmore"), (2, "some text\n" + GPL), (3, MIT), (4, BSD.replace("\n", "\n\n")), (5, "All rights reserved.\n" + BSD + "\n" + BSD), (6, "the river\n" * 3000 + BSD)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.licences, r.n_licence_paragraphs, [f.paragraph for f in r.found]) for r in licences.scan(df, model).collect()}
+    assert got == {1: (["bsd"], 1, [2]), 2: (["gpl"], 1, [1]), 3: (["mit"], 1, got[3][2]), 4: ([], 0, []), 5: (["bsd", "proprietary"], 3, [0, 1, 3]), 6: (["bsd"], 1, [3000])}
+
+
+def test_windows_are_all_that_hold_a_template():
+    rng = random.Random(5)
+    words = [w for t in ("bsd", "cc0") for w in licences.normal(licences.TEMPLATES[t][1].encode()).split()]
+    for _ in range(50):
+        start = rng.randrange(8)
+        lines = [[rng.choice(words)] for _ in range(start)]
+        at = 0
+        while at < len(words):
+            n = rng.randint(1, 9)
+            lines.append(words[at : at + n])
+            at += n
+        got = licences.windows(lines, 0.6)
+        want = []
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                own = licences._pairs(b" ".join(w for ws in lines[a : b + 1] for w in ws))
+                if sum(len(ws) for ws in lines[a + 1 : b]) <= licences._INNER and any(len(own & t) / len(t) >= 0.6 for t in licences._TEMPLATE_PAIRS):
+                    want.append((a, b))
+        assert set(got) <= set(want)
+        shortest = {w for w in want if not any(v != w and w[0] <= v[0] and v[1] <= w[1] for v in want)}
+        assert shortest <= set(got)
