@@ -93,3 +93,9 @@ def test_windows_are_all_that_hold_a_template():
         assert set(got) <= set(want)
         shortest = {w for w in want if not any(v != w and w[0] <= v[0] and v[1] <= w[1] for v in want)}
         assert shortest <= set(got)
+
+
+def test_no_key_word_is_needed(spark, model):
+    text = "Use in source and binary forms, with or without modification, is allowed provided that the following conditions are met."
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert licences.scan(df, model).first().licences == ["bsd"]
