@@ -3,7 +3,8 @@
 A page is streamed through the standard library's parser, which yields lines (blocks) with the number of tags seen in
 each. Lines inside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are marked
 by element and by class, id or role. The smoothed ratios of the other lines are clustered by a threshold; the regions
-(articles, or failing these the page) that hold lines above it are kept whole, so a short paragraph is not lost.
+(articles, or failing these the smallest container around them) that hold lines above it are kept whole, so a short
+paragraph is not lost; outside the first and last line above it a container's lines made of links only are menus.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from .common import slices, utf8
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody tfoot thead tr ul".split())
 DROPPED = frozenset("head title script style noscript template nav footer aside form button select textarea option iframe object svg canvas video audio map menu dialog search".split())
+CONTAINER = frozenset("body div section".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 HINT = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed|s)?|promos?|promotions?|banners?|cookies?|consent|gdpr|notices?|alerts?|sidebars?|side-bar|nav|navbar|navigation|menus?|breadcrumbs?|footers?|headers?|masthead|topbar|comments?|commentlist|replies|disqus|respond|share|sharing|social|related|recommended|newsletters?|subscribe|subscription|signup|login|popups?|modals?|overlay|widgets?|pagination|pager|skip-link|toolbar|teasers?|copyright)(?=$|[\s_-])", re.I)
@@ -30,29 +32,34 @@ BARRIER = frozenset("article main table body html".split())
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, region, marked) for each line of a page."""
+    """Collects (text, tags, region) for each line of a page, and for each its containers and whether it is a list of links."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []
+        self.open: list[tuple[str, bool, int, int]] = []
         self.dropped = 0
         self.region, self.regions = 0, 0
         self.parts: list[str] = []
         self.tags = 0
         self.lines: list[tuple[str, int, int]] = []
+        self.node, self.parents = 0, [0]  # the open container, and the parent of each; 0 is the page
+        self.around: list[tuple[int, bool]] = []
+        self.links, self.plain = 0, False
 
     def cut(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
                 self.lines.append((text, self.tags, self.region))
+                self.around.append((self.node, self.links > 1 and not self.plain))
                 self.tags = 0
             self.parts = []
+            self.links, self.plain = 0, False
 
     def pop(self) -> None:
-        name, drop, region = self.open.pop()
+        name, drop, region, node = self.open.pop()
         self.dropped -= drop
-        self.region = region
+        self.region, self.node = region, node
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -72,7 +79,7 @@ class Lines(HTMLParser):
                 if name in BLOCK:
                     break
         if tag in ("article", "main"):
-            while self.open and any(name in ("nav", "header", "head", "title") for name, _, _ in self.open):
+            while self.open and any(name in ("nav", "header", "head", "title") for name, _, _, _ in self.open):
                 self.pop()
         found = {k: v or "" for k, v in attrs}
         within = self.region > 0
@@ -81,7 +88,10 @@ class Lines(HTMLParser):
             drop = bool(HINT.search(found.get("class", "")) or HINT.search(found.get("id", ""))) and not (tag == "header" and within)
         if not drop and tag == "article" and HINT.search(found.get("class", "")) and re.search(r"comment|reply|sponsor|advert|related|teaser", found.get("class", ""), re.I):
             drop = True
-        self.open.append((tag, drop, self.region))
+        self.open.append((tag, drop, self.region, self.node))
+        if tag in CONTAINER:
+            self.parents.append(self.node)
+            self.node = len(self.parents) - 1
         self.dropped += drop
         if not self.dropped and (tag in ("article", "main") or found.get("role", "").lower() == "main" or found.get("itemprop", "").lower() == "articlebody"):
             if not self.region or tag == "article":
@@ -108,12 +118,18 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.dropped:
-            for name, _, _ in reversed(self.open):  # of an article's own header only the headings are text
+            linked = heading = False
+            for name, _, _, _ in reversed(self.open):  # of an article's own header only the headings are text
+                linked |= name == "a"
                 if name in HEADINGS:
+                    heading = True
                     break
                 if name in ("header", "hgroup"):
                     return
             self.parts.append(data)
+            if data.strip():
+                self.links += linked
+                self.plain |= heading or not linked and any(c.isalnum() for c in data)
 
 
 def smooth(values: np.ndarray, sigma: float) -> np.ndarray:
@@ -159,9 +175,20 @@ def main_text(page: str, sigma: float = 1.0) -> str:
     if named:
         content = {region for region, best in named.items() if best >= least} or {max(named, key=named.get)}
         return "\n\n".join(t for t, _, region in lines if region in content)
-    keep = ratio >= least
-    at = np.flatnonzero(keep)
-    return "\n\n".join(t for t, _, _ in lines[at[0] : at[-1] + 1])
+    at = np.flatnonzero(ratio >= least)
+    nodes, parents = [node for node, _ in parser.around], parser.parents
+    above, held = (np.bincount(x, minlength=len(parents)).tolist() for x in (np.array(nodes)[at], nodes))
+    for node in range(len(parents) - 1, 0, -1):  # parents come first
+        above[parents[node]] += above[node]
+        held[parents[node]] += held[node]
+    shared = max(node for node, n in enumerate(above) if n == len(at))
+    while held[shared] == 1 and shared:  # a wrapper of one line is no container
+        shared = parents[shared]
+    within_shared = [shared == 0]
+    for node in range(1, len(parents)):
+        within_shared.append(node == shared or within_shared[parents[node]])
+    inside = [i for i, node in enumerate(nodes) if within_shared[node]]
+    return "\n\n".join(lines[i][0] for i in inside if at[0] <= i <= at[-1] or not parser.around[i][1])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sigma: float = 1.0) -> DataFrame:

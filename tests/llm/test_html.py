@@ -44,3 +44,19 @@ def test_rows_nulls_repeats_and_columns(spark):
     whole = "\n\n".join([LONG] * 3000)
     assert got == sorted([(1, "u", "a", 1), (1, "u", "a", 1), (None, None, "", 0), (2, "v", whole, len(whole)), (3, "w", "", 0)], key=str)
     assert html.extract(df.limit(0)).count() == 0
+
+
+def words(n):
+    return ("river stone mill " * n)[:n].strip()
+
+
+@pytest.mark.parametrize("wrap", ["{}", "<div>{}</div>"])
+def test_pages_without_an_article_keep_short_first_and_last_blocks(wrap):
+    body = [words(n) for n in (30, 90, 110, 700, 800, 750, 650, 100, 60, 45)]
+    blocks = f"<h1>{body[0]}</h1>" + "".join(wrap.format(f"<p>{t}</p>") for t in body[1:])
+    page = f"<html><body><nav><a href=1>menu</a></nav><div class=x><ul><li>outside</ul></div><div id=content>{blocks}<p><a href=1>back</a> | <a href=2>on</a></p></div><footer>foot</footer></body></html>"
+    assert html.main_text(page) == "\n\n".join(body)
+
+
+def test_a_wrapper_of_one_line_is_no_container():
+    assert html.main_text(f"<body><div><p>Short first.</p></div><div><p>{LONG * 5}</p></div><div><p>Short last.</p></div></body>") == f"Short first.\n\n{LONG * 5}\n\nShort last."
