@@ -116,6 +116,13 @@ class Lines(HTMLParser):
             if name in BARRIER and tag not in BARRIER:
                 return
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """As in the standard parser, but one that it gives up on is a comment up to the next `>`."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i, report)
+
     def handle_data(self, data: str) -> None:
         if not self.dropped:
             linked = heading = False
@@ -157,11 +164,8 @@ def threshold(values: np.ndarray, rounds: int = 20) -> float:
 def main_text(page: str, sigma: float = 1.0) -> str:
     """Main text of a page: its blocks joined by two line ends; empty if it has none."""
     parser = Lines()
-    try:
-        parser.feed(page)
-        parser.close()
-    except AssertionError:  # the standard parser gives up on some broken declarations; lines so far count
-        pass
+    parser.feed(page)
+    parser.close()
     parser.cut()
     lines = parser.lines
     if not lines:

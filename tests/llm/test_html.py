@@ -60,3 +60,17 @@ def test_pages_without_an_article_keep_short_first_and_last_blocks(wrap):
 
 def test_a_wrapper_of_one_line_is_no_container():
     assert html.main_text(f"<body><div><p>Short first.</p></div><div><p>{LONG * 5}</p></div><div><p>Short last.</p></div></body>") == f"Short first.\n\n{LONG * 5}\n\nShort last."
+
+
+@pytest.mark.parametrize("stray", ["<![foo bar]>", "<![ x]>", "<![if !IE]>", "<![]]>", "<![foo[x]]>"])
+def test_text_after_a_stray_marked_section_is_kept(stray):
+    assert html.main_text(f"<p>{LONG}</p>{stray}<p>{LONG} world</p>") == f"{LONG}\n\n{LONG} world"
+    assert html.main_text("<![broken <p>x") == "x"
+    assert html.main_text(f"<article><p>a</p>{stray}<p>world</p></article>") == "a\n\nworld"
+
+
+def test_no_page_stops_the_parser():
+    rng = np.random.default_rng(1)
+    bits = ["<!", "[", "]", ">", "<", "x", " ", "CDATA", "if", "--", "&", "#", "<p>", "</", "DOCTYPE", "1", "\"", "?", "]]>"]
+    for _ in range(20_000):
+        html.main_text("".join(bits[i] for i in rng.integers(0, len(bits), rng.integers(1, 14))))
