@@ -1,8 +1,8 @@
 """Mixing sources to target weights by Poisson replication.
 
 A source's mean repetition rate is its share of the mixture over its share of the corpus. Every document draws its count of
-copies by inverting that Poisson distribution at a number in [0, 1) hashed from its id and a seed, is exploded by its
-count, and the copies are dealt over all partitions by a hashed key and sorted by it, which is a global shuffle.
+copies by inverting that Poisson distribution at a number in [0, 1) hashed from its id and a seed (a rate over MAX_RATE as
+the sum of equal independent parts, each with a number of its own, so any weight is met), is exploded by its count, and the copies are dealt over all partitions by a hashed key and sorted by it, which is a global shuffle.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import fresh, join_sized
 
 SEED = 42
-#: exp(-rate) must stay a normal double: a source can be repeated this many times on average at most.
+#: exp(-rate) must stay a normal double: a higher rate is drawn in parts of at most this one. The SQL stops here.
 MAX_RATE = 500.0
 _DIGITS = 13  # hex digits of a hash that make a number below 2**52, exact in a double
 
@@ -38,6 +38,14 @@ def poisson(rate: Column, u: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), last), start, step)["n"]
 
 
+def copies(rate: Column, seed: int, *parts: Column | str) -> Column:
+    """The Poisson count at any rate for the parts' hash: one draw up to MAX_RATE, the sum of equal shares' draws above."""
+    shares = F.ceil(rate / F.lit(MAX_RATE)).cast("int")
+    draw = lambda i: F.when(i == 0, uniform(F.lit(str(seed)), *parts)).otherwise(uniform(F.lit(f"{seed}/part"), i.cast("string"), *parts))
+    many = F.aggregate(F.transform(F.sequence(F.lit(0), shares - 1), draw), F.lit(0), lambda n, u: n + poisson(rate / shares, u))
+    return F.when(rate <= MAX_RATE, poisson(rate, uniform(F.lit(str(seed)), *parts))).otherwise(many)
+
+
 def rates(docs: DataFrame, weights: dict[str, float] | None, source_col: str, text_col: str, total: float) -> DataFrame:
     """(source, rate) over all documents. Sizes are code points, one at least for each document."""
     size = F.greatest(F.length(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))), F.lit(1))
@@ -51,7 +59,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, source_col: str, te
     # A row for each source; the sums over them are one row.
     sums = sizes.agg(F.sum("weight").alias("weights"), F.sum("size").alias("sizes"))
     joined = sizes.join(F.broadcast(sums))
-    return joined.select("source", F.least(F.coalesce(F.try_divide(F.col("weight") * F.col("sizes") * F.lit(float(total)), F.col("weights") * F.col("size")), F.lit(0.0)), F.lit(MAX_RATE)).alias("rate"))
+    return joined.select("source", F.coalesce(F.try_divide(F.col("weight") * F.col("sizes") * F.lit(float(total)), F.col("weights") * F.col("size")), F.lit(0.0)).alias("rate"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float = 1.0, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", shuffle: bool = True) -> DataFrame:
@@ -60,7 +68,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float =
 
     `weights` are the sources' target shares of the mixture (sources not named get none; None: in proportion to the square
     root of their size); `total` is the mixture's size as a multiple of the corpus. A null source is a source of its own,
-    with weight under the key ""; mean rates are held to MAX_RATE. Null and empty texts count as one code point; rows with one id draw one count, so
+    with weight under the key ""; mean rates have no bound. Null and empty texts count as one code point; rows with one id draw one count, so
     repeated rows are repeated alike; an empty table gives no rows. New names that clash get a leading underscore.
     """
     spark = docs.sparkSession
@@ -68,7 +76,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float =
     side = rates(docs, weights, source_col, text_col, total).select(F.coalesce("source", F.lit("\0")).alias("__source"), F.col("rate").alias(rate_col))
     df = docs.withColumn("__source", F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("\0")))
     df = join_sized(df, side, ["__source"], "inner").drop("__source")
-    n = poisson(F.col(rate_col), uniform(F.lit(str(seed)), f"`{id_col}`"))
+    n = copies(F.col(rate_col), seed, f"`{id_col}`")
     df = df.withColumn("__n", n).where("__n > 0").withColumn(copy, F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
     df = df.withColumn(key_col, (uniform(F.lit(f"{seed}/order"), f"`{id_col}`", copy) * F.lit(float(16**_DIGITS))).cast("long"))
     if shuffle:
@@ -77,7 +85,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float =
 
 
 def oracle() -> str:
-    """The same mixture as DuckDB SQL over `documents`, for the default weights."""
+    """The same mixture as DuckDB SQL over `documents`, for the default weights and rates up to MAX_RATE."""
     unit = f"CAST(('0x' || substr(md5({{}}), 1, {_DIGITS})) AS BIGINT)"
     u = unit.format(f"'{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '')")
     key = unit.format(f"'{SEED}/order|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || CAST(copy AS VARCHAR)")

@@ -66,3 +66,28 @@ def test_names_that_clash_and_empty_tables(spark):
     assert out.columns == ["doc_id", "text", "source", "copy", "rate", "_copy", "_rate", "shuffle_key"]
     assert out.count() == count(1, 5.0)
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+def high(doc_id, rate, seed=42):
+    """As `count`, in equal shares of at most 500."""
+    k = math.ceil(rate / 500)
+    us = [int(hashlib.md5(t.encode()).hexdigest()[:13], 16) / 16**13 for t in [f"{seed}|{doc_id}", *(f"{seed}/part|{i}|{doc_id}" for i in range(1, k))]]
+    n = 0
+    for u in us:
+        m, p = 0, math.exp(-rate / k)
+        total = p
+        while u >= total and m < 2000:
+            m += 1
+            p *= rate / k / m
+            total += p
+        n += m
+    return n
+
+
+def test_small_sources_of_large_corpora_meet_their_weight(spark):
+    rows = [(i, "w" * 1000, "en", "big", 5) for i in range(10)] + [(10 + i, "x", "en", "tiny", 5) for i in range(4)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = Counter(r.doc_id for r in mixing.mix(df, {"tiny": 0.5, "big": 0.5}).collect())
+    rate = 0.5 * 10_004 / 4
+    assert rate > 500 and {i: got[10 + i] for i in range(4)} == {i: high(10 + i, rate) for i in range(4)}
+    assert abs(sum(got[10 + i] for i in range(4)) / 5002 - 1) < 0.05
