@@ -15,7 +15,7 @@ from .common import fresh
 ROUNDS = 8
 #: Patterns of the kinds, in the order in which they are tried at a place.
 PATTERNS = {
-    "secret": r"""(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)\b\s{0,3}[=:]\s{0,3}["']?)[A-Za-z0-9+/_.-]{8,200}(?![A-Za-z0-9+/_-])""",
+    "secret": r"""(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)\b\s{0,3}[=:]\s{0,3}["']?)[A-Za-z0-9+/_.-]{8,}+""",
     "aws_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -40,7 +40,7 @@ def _hash(key: str, kind: str, round_: Column, value: Column) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
 
 
-def feistel(a: Column, b: Column, size_a: int, size_b: int, key: str, kind: str) -> Column:
+def feistel(a: Column, b: Column, size_a: int | Column, size_b: int | Column, key: str, kind: str) -> Column:
     """A keyed permutation of pairs (a, b) with 0 <= a < size_a and 0 <= b < size_b, as a struct of a and b.
 
     Even rounds add a hash of b to a modulo size_a, odd rounds a hash of a to b modulo size_b; each can be undone.
@@ -80,6 +80,16 @@ def permuted_digits(digits: Column, width: int, key: str, kind: str) -> Column:
     return F.aggregate(F.array(pair), F.lit(""), lambda s, p: F.concat(s, _padded(p["a"], half), _padded(p["b"], width - half)))
 
 
+def _permuted_any(digits: Column, key: str, kind: str) -> Column:
+    """The keyed permutation of the digit strings of each length up to 34."""
+    n = F.length(digits)
+    half = F.floor(n / 2).cast("int")
+    power = lambda width: F.rpad(F.lit("1"), width + 1, "0").cast("long")
+    pair = feistel(_long(F.substring(digits, F.lit(1), half)), _long(F.substring(digits, half + 1, n - half)), power(half), power(n - half), key, kind)
+    padded = lambda v, width: F.when(width > 0, F.lpad(v.cast("string"), width, F.lit("0"))).otherwise("")
+    return F.aggregate(F.array(pair), F.lit(""), lambda s, p: F.concat(s, padded(p["a"], half), padded(p["b"], n - half)))
+
+
 def _luhn_sum(digits: Column, double_last: bool) -> Column:
     """Sum of the Luhn digits; every second digit counts double, from the last or from the one before it."""
     values = F.transform(F.reverse(F.split(digits, "")), lambda c, i: F.when((i % 2 == (0 if double_last else 1)), F.coalesce(_long(c), F.lit(0)) * 2).otherwise(F.coalesce(_long(c), F.lit(0))))
@@ -159,12 +169,14 @@ def _date(m: Column, key: str) -> Column:
 def _token(text: Column, key: str, kind: str) -> Column:
     """Each letter and digit becomes one of its class by a keyed hash of the whole text: one-way, as there is no number to permute."""
 
-    def put(c: Column, i: Column) -> Column:
-        h = _hash(key, kind, i, text)
+    def put(c: Column, i: Column, own: Column) -> Column:
+        h = _hash(key, kind, i, own)
         pick = lambda letters: F.substring(F.lit(letters), (h % len(letters) + 1).cast("int"), 1)
         return F.when(c.between("0", "9"), pick("0123456789")).when(F.rlike(c, F.lit("^[a-f]$")), pick("abcdef")).when(F.rlike(c, F.lit("^[A-F]$")), pick("ABCDEF")).when(c.between("a", "z"), pick("ghijklmnopqrstuvwxyz")).when(c.between("A", "Z"), pick("GHIJKLMNOPQRSTUVWXYZ")).otherwise(c)
 
-    return F.array_join(F.transform(F.split(text, ""), put), "")
+    # A long text is hashed once, not for each of its characters.
+    short = F.when(F.length(text) <= 200, text).otherwise(F.sha2(text, 256))
+    return F.transform(F.array(short), lambda own: F.array_join(F.transform(F.split(text, ""), lambda c, i: put(c, i, own)), ""))[0]
 
 
 def _email(m: Column, key: str) -> Column:
@@ -179,14 +191,28 @@ def _secret(m: Column, key: str) -> Column:
 
 
 def _iban(m: Column, key: str) -> Column:
-    """Valid by its check digits modulo 97: the account's last ten characters, if digits, are permuted and it is checked anew."""
+    """Valid by its check digits modulo 97: all digits after the bank's letters are permuted, later letters are moved within
+    theirs by a hash of the digits and the letters before, and it is checked anew. Only country and bank letters stay.
+    """
     flat = F.replace(m, F.lit(" "), F.lit(""))
 
     def rest(text: Column) -> Column:
         return F.aggregate(F.split(text, ""), F.lit(0).cast("long"), lambda s, c: F.when(c.between("0", "9"), (s * 10 + F.coalesce(_long(c), F.lit(0))) % 97).otherwise((s * 100 + F.ascii(c) - 55) % 97))
 
-    ok = (rest(F.concat(F.substring(flat, 5, 40), F.substring(flat, 1, 4))) == 1) & F.rlike(flat, F.lit("[0-9]{10}$"))
-    body = F.concat(F.substring(flat, F.lit(5), F.length(flat) - 14), permuted_digits(F.right(flat, F.lit(10)), 10, key, "iban"))
+    ok = rest(F.concat(F.substring(flat, 5, 40), F.substring(flat, 1, 4))) == 1
+    account = F.substring(flat, 5, 40)
+    bank = F.when(F.rlike(account, F.lit("[0-9]")), F.regexp_extract(account, "^[A-Z]*", 0)).otherwise("")
+    tail = F.substring(account, F.length(bank) + 1, F.length(account))
+
+    def move(s: Column, c: Column) -> Column:
+        digit = c.between("0", "9")
+        h = _hash(key, "iban", F.length(s["out"]), F.concat_ws("|", s["old"], s["letters"]))
+        letter = F.char(F.lit(65) + (F.ascii(c) - 65 + h % 26) % 26)
+        new = F.when(digit, F.substring(s["new"], s["at"], 1)).otherwise(letter)
+        return F.struct(F.concat(s["out"], new).alias("out"), F.when(digit, s["at"] + 1).otherwise(s["at"]).alias("at"), F.when(digit, s["letters"]).otherwise(F.concat(s["letters"], c)).alias("letters"), s["old"].alias("old"), s["new"].alias("new"))
+
+    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"), F.lit("").alias("letters"), _digits(tail).alias("old"), _permuted_any(_digits(tail), key, "iban").alias("new"))
+    body = F.concat(bank, F.aggregate(F.filter(F.split(tail, ""), lambda c: c != ""), start, move)["out"])
     made = F.aggregate(F.array(body), F.lit(""), lambda _, b: F.concat(F.substring(flat, 1, 2), _padded(98 - rest(F.concat(b, F.substring(flat, 1, 2), F.lit("00"))), 2), b))
 
     def put(s: Column, c: Column) -> Column:

@@ -83,3 +83,34 @@ def test_nulls_columns_repeats_and_empty_tables(spark):
     got = sorted(map(tuple, out.collect()), key=str)
     assert [r[4] for r in got] == [3, 3, 1, 0] and got[0][1] == got[1][1]
     assert pii.scrub(df.limit(0)).count() == 0
+
+
+def test_every_valid_iban_is_permuted(spark):
+    cases = {
+        "FR14 2004 1010 0505 0001 3M02 606": r"FR\d\d \d{4} \d{4} \d{4} \d{4} \d[A-Z]\d\d \d{3}",
+        "MT84MALT011000012345MTLCAST001S": r"MT\d\dMALT\d{12}[A-Z]{7}\d{3}[A-Z]",
+        "DE89370400440532013000": r"DE\d{20}",
+        "MU17BOMM0101101030300200000MUR": r"MU\d\dBOMM\d{19}[A-Z]{3}",
+    }
+    got = scrub(spark, *cases, *cases)
+    assert got[:4] == got[4:] and all(n == 1 for _, n in got)
+    for (old, pattern), (new, _) in zip(cases.items(), got, strict=False):
+        assert re.fullmatch(pattern, new) and old[9:] != new[9:], new
+        flat = new.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
+    assert got[1][0][8:16] != "01100001" and got[1][0][-11:] != "MTLCAST001S"
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_digits_of_any_length_are_permuted(spark, n):
+    every = spark.range(10**n).select(F.lpad(F.col("id").cast("string"), n, "0").alias("d"))
+    assert {r[0] for r in every.select(pii._permuted_any(F.col("d"), "k", "t")).collect()} == {f"{i:0{n}}" for i in range(10**n)}
+
+
+def test_long_secrets_are_replaced_whole(spark):
+    long, dotted, huge = "a1B2" * 55, ".".join(["eyJhbGciOi" * 9] * 3), "Zz9" * 20_000
+    (a, n), (b, m), (c, k) = scrub(spark, f"token={long} end", f"token={dotted} end", f"secret: {huge}")
+    assert (n, m, k) == (1, 1, 1)
+    assert re.fullmatch(r"token=[A-Za-z0-9]{220} end", a) and "a1B2" * 3 not in a
+    assert re.fullmatch(r"token=[A-Za-z]{90}\.[A-Za-z]{90}\.[A-Za-z]{90} end", b) and "eyJhbGciOi" not in b
+    assert len(c) == len(huge) + 8 and "Zz9Zz9Zz9" not in c
