@@ -3,17 +3,21 @@
 The quantiser is fitted on a bounded sample of rows: coarse centres, then a product codebook of 16 codewords for each short
 subspace of the residual. Its loss is score-aware: the part of the residual parallel to the vector weighs more than the
 rest, since it is what changes large inner products; codewords are fitted and assigned under that loss. Every row is
-indexed. Queries and rows meet in blocks: a block scans its codes by lookup tables of 16 entries, reranks the best by the
-exact product in double precision, and gives each query its best few.
+indexed once, with two codes to a byte, in the cell of its coarse centre. A query visits only cells that can hold a better
+row than the k-th best of the sample, by a bound that loses none. Queries and rows meet in blocks: a block scans its codes
+by lookup tables of 16 entries, reranks a small share by the exact product in double precision, and gives each query its
+best few.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -23,11 +27,13 @@ CODES = 16
 
 @dataclass
 class Quantiser:
-    """Coarse centres (c, d), a codebook (subspaces, 16, width), and the weight of the parallel error."""
+    """Coarse centres (c, d), a codebook (subspaces, 16, width), the weight of the parallel error, and the length of a usual
+    residual of each centre, by which residuals are divided: a dense cell is told apart as finely as a wide one."""
 
     centres: np.ndarray
     books: np.ndarray
     eta: float
+    scale: np.ndarray
 
     @property
     def width(self) -> int:
@@ -44,10 +50,13 @@ class Quantiser:
         """The coarse centre of each vector."""
         return nearest(x, self.centres)
 
+    def residual(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return self.split((x - self.centres[at]) / self.scale[at, None])
+
     def encode(self, x: np.ndarray, rounds: int = 2) -> tuple[np.ndarray, np.ndarray]:
         """(centres, codes): coordinate descent on the score-aware loss, from the plain nearest codewords."""
         at = self.assign(x)
-        rest = self.split(x - self.centres[at])
+        rest = self.residual(x, at)
         unit = self.split(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12))
         gap = rest[:, :, None, :] - self.books[None]
         square, along = (gap**2).sum(-1), np.einsum("nmkw,nmw->nmk", gap, unit)
@@ -87,8 +96,10 @@ def fit(x: np.ndarray, centres: int = 64, width: int = 2, share: float = 0.2, ro
     eta = max(1.0, (d - 1) * share**2 / (1 - share**2))
     mids = _means(x, centres, 10, rng)
     parts = -(-d // width)
-    q = Quantiser(mids, np.zeros((parts, CODES, width)), eta)
-    rest = q.split(x - mids[q.assign(x)])
+    at = nearest(x, mids)
+    square = np.bincount(at, ((x - mids[at]) ** 2).sum(1), len(mids)) / np.maximum(1, np.bincount(at, minlength=len(mids)))
+    q = Quantiser(mids, np.zeros((parts, CODES, width)), eta, np.where(square > 0, np.sqrt(square), 1.0))
+    rest = q.residual(x, at)
     q.books = np.stack([np.pad(b, ((0, CODES - len(b)), (0, 0)), mode="edge") for b in (_means(rest[:, m], CODES, 8, rng) for m in range(parts))])
     unit = q.split(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12))
     for _ in range(rounds):
@@ -111,28 +122,45 @@ def fit(x: np.ndarray, centres: int = 64, width: int = 2, share: float = 0.2, ro
 def scan(q: Quantiser, queries: np.ndarray, at: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """Approximate products (queries by rows) from tables of 16 entries for each subspace."""
     tables = np.einsum("qmw,mkw->mkq", q.split(queries), q.books).astype(np.float32)
-    out = (queries @ q.centres.T).astype(np.float32).T[at]
+    out = np.zeros((len(at), len(queries)), np.float32)
     for m in range(codes.shape[1]):
         out += tables[m][codes[:, m]]
-    return out.T
-
-
-def top(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, q: Quantiser, at: np.ndarray, codes: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query position, id, score) of each query's best k rows but itself, after exact reranking of the `rerank` best by
-    the scan; ties to the smaller id. Rows alike in score at the cut are all reranked."""
+    out *= q.scale.astype(np.float32)[at, None]
+    return (out + (queries @ q.centres.T).T[at]).T
+
+
+def top(queries: np.ndarray, own: np.ndarray, x: np.ndarray, rows: np.ndarray, q: Quantiser, at: np.ndarray, codes: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, position in x, score) of each query's best k rows but its own, after exact reranking of the `rerank` best by
+    the scan. Ties go to the first: rows come in order of their id. Equal vectors are scanned and reranked as one, and
+    its first k + 1 rows take part in the result, so a very common vector crowds nothing out."""
+    _, first, group = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel(), return_index=True, return_inverse=True)
+    by_first = np.argsort(first)
+    first, group = first[by_first], np.argsort(by_first)[group]
+    members = np.argsort(group, kind="stable")
+    size = np.bincount(group)
+    start = np.cumsum(size) - size
+    size = np.minimum(size, k + 1)
+    x, at, codes = x[first], at[first], codes[first]
+    rerank = min(rerank, len(x))
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for a in range(0, len(queries), 64):
-        rough = scan(q, queries[a : a + 64], at, codes)
-        for i, row in enumerate(rough):
+        for i, row in enumerate(scan(q, queries[a : a + 64], at, codes)):
             if len(row) > rerank:
                 least = np.partition(row, len(row) - rerank)[len(row) - rerank]
-                near = np.flatnonzero(row >= least)
+                above = np.flatnonzero(row > least)
+                near = np.sort(np.concatenate([above, np.flatnonzero(row == least)[: rerank - len(above) + 1]]))
             else:
                 near = np.arange(len(row))
-            near = near[ids[near] != query_ids[a + i]]
             exact = (x[near] * queries[a + i]).sum(1)
-            order = np.lexsort((ids[near], -exact))[:k]
-            found.append((np.full(len(order), a + i), ids[near][order], exact[order]))
+            order = np.argsort(-exact, kind="stable")[: k + 1]
+            near, exact = near[order], exact[order]
+            n = size[near]
+            place = members[np.repeat(start[near], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
+            score = np.repeat(exact, n)
+            other = rows[place] != own[a + i]
+            place, score = place[other], score[other]
+            order = np.lexsort((place, -score))[:k]
+            found.append((np.full(len(order), a + i), place[order], score[order]))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
@@ -146,44 +174,124 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(finite & F.exists("vec", lambda e: e != 0))
 
 
-def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, sample: int = 10_000, rerank: int = 600, block: int = 16_384, query_block: int = 16_384) -> DataFrame:
+def packed(codes: np.ndarray) -> np.ndarray:
+    """Codes of four bits, two to a byte."""
+    wide = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
+    return wide[:, ::2] | wide[:, 1::2] << 4
+
+
+def unpacked(held: np.ndarray, subspaces: int) -> np.ndarray:
+    return np.stack([held & 15, held >> 4], 2).reshape(len(held), -1)[:, :subspaces]
+
+
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
+def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, sample: int = 10_000, share: float = 0.02, block: int = 16_384, query_block: int = 32_768) -> DataFrame:
     """The k rows with the largest inner product for each row whose id is divisible by `every`: query_id, rank, vec_id, score.
 
-    The quantiser sees at most `sample` rows, chosen by a hash of the id; every row is indexed and scanned. Vectors that are
-    null, zero, or hold null or non-finite components take no part; vectors of another length than most are of another space
-    and are searched only among their like. Repeated rows of an id count once. No rows, no result.
+    The quantiser sees at most `sample` rows, chosen by a hash of the row; every row is indexed. Of a block's rows the scan
+    picks `share`, or 5 k if more, for exact reranking. Vectors that are null, zero, or hold null or non-finite components
+    take no part; vectors of different lengths are of different spaces, and are searched among their like. Every other row is
+    a candidate, also one that repeats the query's id or vector; rows of a query's id are queries of their own, whose
+    results follow each other under that id. No rows, no result.
     """
-    rows = cut(usable(vectors, id_col, vector_col).groupBy("vec_id").agg(F.min("vec").alias("vec")).withColumn("dim", F.size("vec")), "vectors")
-    sizes = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(1000).collect()}
-    if not sizes:
-        return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    found = None
-    for dim, n in sorted(sizes.items()):
-        own = rows.where(F.col("dim") == dim).select("vec_id", "vec")
-        picked = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec").toArrow().column("vec").combine_chunks()
-        x = picked.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-        one = _search(own, n, fit(x, centres=max(1, min(64, len(x) // 40))), every, k, rerank, block, query_block)
-        found = one if found is None else found.unionByName(one)
-    best = found.groupBy("query_id").agg(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("v"))).alias("all"))
-    best = best.select("query_id", F.posexplode(F.slice(F.array_sort("all"), 1, k)).alias("rank", "b"))
-    return best.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.v").alias("vec_id"), (-F.col("b.s")).alias("score"))
-
-
-def _search(rows: DataFrame, n: int, q: Quantiser, every: int, k: int, rerank: int, block: int, query_block: int) -> DataFrame:
-    blocks, query_blocks = -(-n // block), -(-n // (query_block * every))
-    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
-    deal = lambda salt, parts: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(parts)).cast("int")
-    spread = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    held = rows.withColumn("b", deal(1, blocks)).withColumn("qb", spread(query_blocks))
-    asked = queries.withColumn("qb", deal(2, query_blocks)).withColumn("b", spread(blocks))
-
+    rows = cut(usable(vectors, id_col, vector_col).withColumn("dim", F.size("vec")).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    is_query = F.pmod("vec_id", F.lit(every)) == 0
+    sizes = cut(rows.groupBy("dim").agg(F.count("*").alias("n"), F.count_if(is_query).alias("queries")).where("queries > 0"), "sizes")
+    few = F.col("n") <= 5 * k
+    found = _few(rows.join(sizes.where(few).select("dim"), "dim", "left_semi"), is_query, k)
+    sizes = sizes.where(~few).toArrow().to_pydict()
+    for dim, n, queries in sorted(zip(sizes["dim"], sizes["n"], sizes["queries"], strict=True)):
+        one = _space(rows.where(F.col("dim") == dim).select("row", "vec_id", "vec"), dim, n, queries, is_query, k, sample, share, block, query_block)
+        found = found.unionByName(one)
+    # A rank limit: each task keeps its k best of a query before the shuffle, and no query is held as one list.
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+_FOUND = "query_row long, query_id long, row long, vec_id long, score double"
+
+
+def _result(left: pd.DataFrame, right: pd.DataFrame, where: np.ndarray, at: np.ndarray, score: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"query_row": right["row"].to_numpy()[where], "query_id": right["vec_id"].to_numpy()[where], "row": left["row"].to_numpy()[at], "vec_id": left["vec_id"].to_numpy()[at], "score": score})
+
+
+def _few(rows: DataFrame, is_query: Column, k: int) -> DataFrame:
+    """All spaces of at most 5 k rows, in one job: the scan would pick all their rows for reranking."""
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["vec_id", "row"])
+        x, asked = np.stack(group["vec"].to_numpy()), group[group["ask"]]
+        q = Quantiser(np.zeros((1, x.shape[1])), np.zeros((x.shape[1], CODES, 1)), 1.0, np.ones(1))
+        none = np.zeros(len(x), np.int64)
+        return _result(group, asked, *top(np.stack(asked["vec"].to_numpy()), asked["row"].to_numpy(), x, group["row"].to_numpy(), q, none, np.zeros(x.shape, np.uint8), k, len(x)))
+
+    return rows.withColumn("ask", is_query).groupBy("dim").applyInPandas(meet, _FOUND)
+
+
+def _space(rows: DataFrame, dim: int, n: int, n_queries: int, is_query: Column, k: int, sample: int, share: float, block: int, query_block: int) -> DataFrame:
+    """The search in one space: fit, index (written once), prune cells by their score bound, scan, rerank."""
+    chosen = rows.orderBy(F.xxhash64("vec_id", "row"), "row").limit(sample).select("vec").toArrow().column("vec").combine_chunks()
+    x = _matrix(chosen, dim)
+    floor_rows = x[:4096]
+    q = fit(x, centres=max(1, min(64, len(x) // 40)))
+    schema = "row long, vec_id long, vec array<double>, cell int, reach double, codes binary"
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = _matrix(batch.column("vec"), dim)
+            at, codes = q.encode(v) if len(v) else (np.zeros(0, np.int64), np.zeros((0, q.books.shape[0]), np.uint8))
+            reach = np.linalg.norm(v - q.centres[at], axis=1)
+            held = pa.array([c.tobytes() for c in packed(codes)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "vec_id", "vec")), pa.array(at.astype(np.int32)), pa.array(reach), held], ["row", "vec_id", "vec", "cell", "reach", "codes"])
+
+    index = cut(rows.mapInArrow(encode, schema), "index")
+    cells = index.groupBy("cell").agg(F.count("*").alias("n"), F.max("reach").alias("reach")).orderBy("cell").toArrow().to_pydict()
+    # Cells go into blocks of at most `block` rows; a larger cell is dealt over blocks of its own.
+    first, parts, bounds, fill = {}, {}, [], block
+    for cell, size, reach in zip(cells["cell"], cells["n"], cells["reach"], strict=True):
+        parts[cell] = -(-size // block)
+        if fill + size > block:
+            bounds += [[] for _ in range(parts[cell])]
+            fill = 0
+        first[cell] = len(bounds) - parts[cell]
+        fill += size
+        for b in range(first[cell], first[cell] + parts[cell]):
+            bounds[b].append((cell, reach))
+    deal = np.zeros((len(q.centres), 2), np.int64)
+    for cell in parts:
+        deal[cell] = first[cell], parts[cell]
+    starts, counts = (F.array(*[F.lit(int(v)) for v in c]) for c in deal.T)
+    held = index.withColumn("b", (F.element_at(starts, F.col("cell") + 1) + F.pmod(F.xxhash64("row"), F.element_at(counts, F.col("cell") + 1))).cast("int"))
+    query_blocks = -(-n_queries // query_block)
+    held = held.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A query goes to the blocks with a cell that can hold a better row than the k-th of the sample: no row of a cell has
+        a larger product than its centre's plus the query's length times the cell's reach, so none is lost."""
+        for batch in batches:
+            y = _matrix(batch.column("vec"), dim)
+            for a in range(0, len(y), 1024):
+                part = y[a : a + 1024]
+                to_sample = part @ floor_rows.T
+                # The query itself may be in the sample: one more row is asked for.
+                floor = np.partition(to_sample, -(k + 1), axis=1)[:, -(k + 1)] if len(floor_rows) > k else np.full(len(part), -np.inf)
+                centre, length = part @ q.centres.T, np.linalg.norm(part, axis=1)
+                reached = np.stack([np.max([centre[:, c] + length * r for c, r in own], axis=0) for own in bounds], 1)
+                who, b = np.nonzero(reached >= floor[:, None] - 1e-9 * (1 + np.abs(floor[:, None])))
+                at = pa.array(a + who)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("row", "vec_id", "vec")), pa.array(b.astype(np.int32))], ["row", "vec_id", "vec", "b"])
+
+    asked = rows.where(is_query).mapInArrow(ask, "row long, vec_id long, vec array<double>, b int").withColumn("qb", F.pmod(F.xxhash64("row", F.lit(2)), F.lit(query_blocks)).cast("int"))
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        x, y = np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy())
-        at, codes = zip(*(q.encode(x[i : i + 1024]) for i in range(0, len(x), 1024)), strict=True)
-        ids = right["vec_id"].to_numpy()
-        where, found, score = top(y, ids, x, left["vec_id"].to_numpy(), q, np.concatenate(at), np.concatenate(codes), k, rerank)
-        return pd.DataFrame({"query_id": ids[where], "vec_id": found, "score": score})
-
-    return held.groupBy("qb", "b").cogroup(asked.groupBy("qb", "b")).applyInPandas(meet, "query_id long, vec_id long, score double")
+            return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_row", "query_id", "row", "vec_id")} | {"score": np.zeros(0)})
+        left = left.sort_values(["vec_id", "row"])
+        v, y = np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy())
+        codes = unpacked(np.frombuffer(b"".join(left["codes"]), np.uint8).reshape(len(left), -1), q.books.shape[0])
+        own, ids = right["row"].to_numpy(), left["row"].to_numpy()
+        return _result(left, right, *top(y, own, v, ids, q, left["cell"].to_numpy(), codes, k, max(5 * k, int(share * len(left)))))
+
+    return held.groupBy("qb", "b").cogroup(asked.groupBy("qb", "b")).applyInPandas(meet, _FOUND)
