@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,55 +23,67 @@ from .common import cut, slices
 
 
 def fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:
-    """The combination of lengths with the largest sum within `capacity` that holds the longest available one.
+    """The combination of available lengths with the largest sum within `capacity`.
 
-    reach[i] has bit s set if lengths up to the i-th (ascending) can sum to s; the walk back prefers long lengths, so
-    short ones remain to fill later bins.
+    reach[i] has bit s set if the first i lengths, from the longest, can sum to s; lengths are added until `capacity` itself
+    is reached or none is left. The walk back takes as few of the last, shortest lengths as it can, so of equally full
+    combinations one with long lengths is taken and short ones remain to fill later bins.
     """
-    lengths = sorted(length for length, n in counts.items() if n)
-    top = lengths[-1]
-    room = capacity - top
-    usable = [n for n in lengths if n <= room]
-    full = (1 << (room + 1)) - 1
+    lengths = sorted((length for length, n in counts.items() if n and length <= capacity), reverse=True)
+    full = (1 << (capacity + 1)) - 1
     reach = [1]
-    for length in usable:
-        bits, left, step = reach[-1], min(counts[length] - (length == top), room // length), 1
+    for length in lengths:
+        bits, left, step = reach[-1], min(counts[length], capacity // length), 1
         while left > 0:
             take = min(step, left)
             bits |= (bits << (take * length)) & full
             left -= take
             step *= 2
         reach.append(bits)
+        if bits >> capacity & 1:
+            break
     total = reach[-1].bit_length() - 1
-    out = {top: 1}
-    for i in range(len(usable) - 1, -1, -1):
+    out = {}
+    for i in range(len(reach) - 2, -1, -1):
         if not total:
             break
-        length = usable[i]
-        k = min(counts[length] - (length == top), total // length)
-        while not (reach[i] >> (total - k * length)) & 1:
-            k -= 1
+        k = 0
+        while not (reach[i] >> (total - k * lengths[i])) & 1:
+            k += 1
         if k:
-            out[length] = out.get(length, 0) + k
-            total -= k * length
+            out[lengths[i]] = k
+            total -= k * lengths[i]
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """(combination, number of bins with it), until no length is left."""
-    counts = {length: n for length, n in histogram.items() if n}
-    out = []
-    while counts:
-        combination = fullest(counts, capacity)
-        times = min(counts[length] // k for length, k in combination.items())
-        out.append((combination, times))
-        for length, k in combination.items():
-            counts[length] -= k * times
-            if not counts[length]:
-                del counts[length]
+def seeded(counts: dict[int, int], capacity: int) -> dict[int, int]:
+    """The fullest combination of those that hold the longest available length."""
+    top = max(length for length, n in counts.items() if n)
+    out = fullest(counts | {top: counts[top] - 1}, capacity - top)
+    out[top] = out.get(top, 0) + 1
     return out
 
 
+def plan(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """(combination, number of bins with it), until no length is left: always the fullest combination, or always the fullest
+    that holds the longest length, which may leave fewer long lengths for the end; whichever needs fewer bins."""
+
+    def filled(choose: Callable[[dict[int, int], int], dict[int, int]]) -> list[tuple[dict[int, int], int]]:
+        counts = {length: n for length, n in histogram.items() if n}
+        out = []
+        while counts:
+            combination = choose(counts, capacity)
+            times = min(counts[length] // k for length, k in combination.items())
+            out.append((combination, times))
+            for length, k in combination.items():
+                counts[length] -= k * times
+                if not counts[length]:
+                    del counts[length]
+        return out
+
+    return min((filled(fullest), filled(seeded)), key=lambda bins: sum(times for _, times in bins))
+
+
 def slots(patterns: list[tuple[dict[int, int], int]]) -> dict[int, tuple[list[int], list[int], list[int], list[int]]]:
     """Per length: first rank of each run of slots, slots per bin, first bin, offset of the first slot in the bin."""
     out: dict[int, tuple[list[int], list[int], list[int], list[int]]] = {}
@@ -259,15 +271,16 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     cols = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     cutting = pieces(docs, tokenizer, id_col, text_col, capacity, end_id, with_ids)
-    table = cut(cutting, "pieces")
+    # Rows alike in id and ids are told apart by their place, so that no bucket gathers them.
+    table = cut(cutting.withColumn("salt", F.monotonically_increasing_id() % 65_537), "pieces")
     n_buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    table = table.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(n_buckets)).cast("int"))
+    table = table.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", "salt"), F.lit(n_buckets)).cast("int"))
     per = table.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in per.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     runs = slots(plan(histogram, capacity))
     tables = {length: tuple(np.asarray(c, np.int64) for c in run) for length, run in runs.items()}
     before = per.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select("length", "bucket", F.coalesce("before", F.lit(0)).alias("before"))
-    ranked = table.withColumn("rank", F.row_number().over(Window.partitionBy("bucket", "length").orderBy("doc_id", "piece", "start", "ids_crc32")).cast("long"))
+    ranked = table.withColumn("rank", F.row_number().over(Window.partitionBy("bucket", "length").orderBy("doc_id", "piece", "start", "ids_crc32", "salt")).cast("long"))
     placed = ranked.join(before, ["length", "bucket"]).select(*cols, (F.col("before") + F.col("rank") - 1).alias("rank"))
     schema = placed.drop("rank").schema.add("sequence_id", "long").add("offset", "long")
 

@@ -27,15 +27,18 @@ def test_plan_places_everything_once_and_never_overfills(histogram):
 
 @given(st.dictionaries(st.integers(1, 25), st.integers(1, 3), min_size=1, max_size=6))
 @settings(max_examples=60, deadline=None)
-def test_fullest_is_the_best_sum_with_the_longest(counts):
-    items = [n for n, k in counts.items() for _ in range(k)]
-    items.remove(max(items))
+def test_fullest_is_the_best_sum(counts):
     sums = {0}
-    for n in items:
-        sums |= {s + n for s in sums if s + n <= 25 - max(counts)}
+    for n in (n for n, k in counts.items() for _ in range(k)):
+        sums |= {s + n for s in sums if s + n <= 25}
     found = packing.fullest(counts, 25)
-    assert sum(n * k for n, k in found.items()) == max(counts) + max(sums)
-    assert all(k <= counts[n] for n, k in found.items())
+    assert sum(n * k for n, k in found.items()) == max(sums)
+    assert all(0 < k <= counts[n] for n, k in found.items())
+
+
+def test_a_fuller_combination_goes_before_the_longest_length():
+    assert packing.fullest({2000: 1, 1024: 2}, 2048) == {1024: 2}
+    assert packing.plan({2000: 1, 1024: 2}, 2048) == [({1024: 2}, 1), ({2000: 1}, 1)]
 
 
 def test_encoder_equals_the_library():
