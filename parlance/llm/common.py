@@ -13,24 +13,46 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; set here only where unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session (tests) gets a
+    temporary folder of its own; any other session is refused, since its executors would each write to their own disk.
+    """
     sc = spark.sparkContext
     conf = sc.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="parlance-checkpoint-"))
     return sc.getCheckpointDir()
 
 
+_CUTS: list[str] = []
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write `df` as a table in the shared folder and read it back: lineage ends there, executors may be lost."""
+    """Write `df` as a table in the shared folder and read it back: lineage ends there, executors may be lost.
+
+    The table is deleted when the driver ends, or by `sweep`.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/parlance/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    _CUTS.append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> int:
+    """Delete the tables that `cut` made so far, once no result that reads them is wanted; returns their number."""
+    done = 0
+    while _CUTS:
+        place = spark._jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
+        done += bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True))
+    return done
+
+
 def join_sized(df: DataFrame, side: DataFrame, on: list[str], how: str = "left", max_rows: int = 50_000) -> DataFrame:
     """Join with a broadcast of `side` if it is counted to hold at most `max_rows`, else by shuffle (AQE splits skew)."""
     if len(side.take(max_rows + 1)) <= max_rows if max_rows <= 1000 else side.limit(max_rows + 1).count() <= max_rows:
@@ -38,6 +60,17 @@ def join_sized(df: DataFrame, side: DataFrame, on: list[str], how: str = "left",
     return df.join(side, on, how)
 
 
+def join_hot(df: DataFrame, side: DataFrame, on: list[str], weight: str, total: int, least: int = 200, max_rows: int = 20_000) -> DataFrame:
+    """Inner join with `side`, one row for each key, whose column `weight` says how many rows of `df` have the key.
+
+    Keys of over max(least, total / max_rows) rows are met by broadcast: as the weights add up to `total`, there are at most
+    `max_rows` of them, however large the tables. No other key has so many rows that one task could not take them.
+    """
+    bound = max(least, total // max_rows)
+    hot, rest = side.where(F.col(weight) > bound).drop(weight), side.where(F.col(weight) <= bound).drop(weight)
+    return df.join(F.broadcast(hot), on).unionByName(df.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on))
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """A string column's values as bytes, without decoding; nulls stay None."""
     return column.cast(pa.binary()).to_pylist()

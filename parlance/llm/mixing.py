@@ -1,16 +1,16 @@
 """Mixing sources to target weights by Poisson replication.
 
 A source's mean repetition rate is its share of the mixture over its share of the corpus. Every document draws its count of
-copies by inverting that Poisson distribution at a number in [0, 1) hashed from its id and a seed (a rate over MAX_RATE as
+copies by inverting that Poisson distribution at a number in [0, 1) hashed from its id, its text and a seed (a rate over MAX_RATE as
 the sum of equal independent parts, each with a number of its own, so any weight is met), is exploded by its count, and the copies are dealt over all partitions by a hashed key and sorted by it, which is a global shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, join_sized
+from .common import cut, fresh, join_sized
 
 SEED = 42
 #: exp(-rate) must stay a normal double: a higher rate is drawn in parts of at most this one. The SQL stops here.
@@ -56,10 +56,11 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, source_col: str, te
         given = F.map_from_arrays(F.array(*[F.lit(k) for k in weights]), F.array(*[F.lit(float(v)) for v in weights.values()]))
         weight = F.coalesce(F.try_element_at(given, F.coalesce("source", F.lit(""))), F.lit(0.0))
     sizes = sizes.withColumn("weight", weight)
-    # A row for each source; the sums over them are one row.
-    sums = sizes.agg(F.sum("weight").alias("weights"), F.sum("size").alias("sizes"))
-    joined = sizes.join(F.broadcast(sums))
-    return joined.select("source", F.coalesce(F.try_divide(F.col("weight") * F.col("sizes") * F.lit(float(total)), F.col("weights") * F.col("size")), F.lit(0.0)).alias("rate"))
+    # A row for each source, written once: the documents are read once for their sizes and once to be mixed.
+    sizes = cut(sizes, "sizes")
+    sums = sizes.agg(F.sum("weight"), F.sum("size")).first()
+    weights_sum, sizes_sum = F.lit(float(sums[0] or 0.0)), F.lit(float(sums[1] or 0.0))
+    return sizes.select("source", F.coalesce(F.try_divide(F.col("weight") * sizes_sum * F.lit(float(total)), weights_sum * F.col("size")), F.lit(0.0)).alias("rate"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float = 1.0, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", shuffle: bool = True) -> DataFrame:
@@ -68,27 +69,31 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float =
 
     `weights` are the sources' target shares of the mixture (sources not named get none; None: in proportion to the square
     root of their size); `total` is the mixture's size as a multiple of the corpus. A null source is a source of its own,
-    with weight under the key ""; mean rates have no bound. Null and empty texts count as one code point; rows with one id draw one count, so
-    repeated rows are repeated alike; an empty table gives no rows. New names that clash get a leading underscore.
+    with weight under the key ""; mean rates have no bound. Null and empty texts count as one code point. A draw is keyed by id
+    and text, so rows without an id or with a repeated one draw for themselves, and rows alike in both are repeated alike but
+    still dealt over all partitions; an empty table gives no rows. New names that clash get a leading underscore.
     """
     spark = docs.sparkSession
     copy, rate_col, key_col = fresh(docs, "copy", "rate", "shuffle_key")
     side = rates(docs, weights, source_col, text_col, total).select(F.coalesce("source", F.lit("\0")).alias("__source"), F.col("rate").alias(rate_col))
     df = docs.withColumn("__source", F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("\0")))
     df = join_sized(df, side, ["__source"], "inner").drop("__source")
-    n = copies(F.col(rate_col), seed, f"`{id_col}`")
-    df = df.withColumn("__n", n).where("__n > 0").withColumn(copy, F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
-    df = df.withColumn(key_col, (uniform(F.lit(f"{seed}/order"), f"`{id_col}`", copy) * F.lit(float(16**_DIGITS))).cast("long"))
+    own = (F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
+    df = df.withColumn("__n", copies(F.col(rate_col), seed, *own)).where("__n > 0").withColumn(copy, F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
+    df = df.withColumn(key_col, (uniform(F.lit(f"{seed}/order"), *own, copy) * F.lit(float(16**_DIGITS))).cast("long"))
     if shuffle:
-        df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col(key_col), F.col(copy)).sortWithinPartitions(key_col)
+        # Rows alike share a key; their place in the input, which is the same in every attempt at a scan, parts them.
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df = df.withColumn("__at", F.monotonically_increasing_id() % 1009).repartition(parts, F.col(key_col), F.col(copy), F.col("__at")).sortWithinPartitions(key_col).drop("__at")
     return df.select(*[f"`{c}`" for c in docs.columns], copy, rate_col, key_col)
 
 
 def oracle() -> str:
     """The same mixture as DuckDB SQL over `documents`, for the default weights and rates up to MAX_RATE."""
     unit = f"CAST(('0x' || substr(md5({{}}), 1, {_DIGITS})) AS BIGINT)"
-    u = unit.format(f"'{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '')")
-    key = unit.format(f"'{SEED}/order|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || CAST(copy AS VARCHAR)")
+    own = "coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))"
+    u = unit.format(f"'{SEED}|' || {own}")
+    key = unit.format(f"'{SEED}/order|' || {own} || '|' || CAST(copy AS VARCHAR)")
     return f"""
 WITH RECURSIVE sizes AS (
   SELECT coalesce(source, chr(1)) AS s, CAST(sum(greatest(length(coalesce(text, '')), 1)) AS DOUBLE) AS size FROM documents GROUP BY 1),

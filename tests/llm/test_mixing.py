@@ -9,8 +9,8 @@ from parlance.llm import mixing
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def count(doc_id, rate, seed=42):
-    text = f"{seed}|{'' if doc_id is None else doc_id}"
+def count(doc_id, rate, seed=42, text=""):
+    text = f"{seed}|{'' if doc_id is None else doc_id}|{hashlib.md5(text.encode()).hexdigest()}"
     u = int(hashlib.md5(text.encode()).hexdigest()[:13], 16) / 16**13
     n, p = 0, math.exp(-rate)
     total = p
@@ -35,7 +35,7 @@ def test_counts_are_the_inverted_poisson(spark):
     rate = {s: min(500.0, weight[s] * sum(size.values()) / (sum(weight.values()) * size[s])) for s in size}
     want = Counter()
     for r in rows:
-        want[(r[0], r[1], r[3])] += count(r[0], rate[r[3]])
+        want[(r[0], r[1], r[3])] += count(r[0], rate[r[3]], text=r[1] or "")
     got = Counter((r.doc_id, r.text, r.source) for r in mixing.mix(df).collect())
     assert got == Counter({k: n for k, n in want.items() if n})
 
@@ -64,14 +64,14 @@ def test_names_that_clash_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "a", "s", 3, "k")], "doc_id long, text string, source string, copy int, rate string")
     out = mixing.mix(df, total=5.0)
     assert out.columns == ["doc_id", "text", "source", "copy", "rate", "_copy", "_rate", "shuffle_key"]
-    assert out.count() == count(1, 5.0)
+    assert out.count() == count(1, 5.0, text="a")
     assert mixing.mix(df.limit(0)).count() == 0
 
 
 def high(doc_id, rate, seed=42):
     """As `count`, in equal shares of at most 500."""
-    k = math.ceil(rate / 500)
-    us = [int(hashlib.md5(t.encode()).hexdigest()[:13], 16) / 16**13 for t in [f"{seed}|{doc_id}", *(f"{seed}/part|{i}|{doc_id}" for i in range(1, k))]]
+    k, own = math.ceil(rate / 500), f"{doc_id}|{hashlib.md5(b'x').hexdigest()}"
+    us = [int(hashlib.md5(t.encode()).hexdigest()[:13], 16) / 16**13 for t in [f"{seed}|{own}", *(f"{seed}/part|{i}|{own}" for i in range(1, k))]]
     n = 0
     for u in us:
         m, p = 0, math.exp(-rate / k)
@@ -91,3 +91,14 @@ def test_small_sources_of_large_corpora_meet_their_weight(spark):
     rate = 0.5 * 10_004 / 4
     assert rate > 500 and {i: got[10 + i] for i in range(4)} == {i: high(10 + i, rate) for i in range(4)}
     assert abs(sum(got[10 + i] for i in range(4)) / 5002 - 1) < 0.05
+
+
+def test_rows_without_an_id_and_repeated_rows_are_dealt_apart(spark):
+    rows = [(None, f"text {i}", "en", "s", 5) for i in range(60)] + [(7, "same", "en", "s", 4)] * 300
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA), total=4.0)
+    drawn = Counter(r.text for r in got.where("doc_id IS NULL").collect())
+    assert drawn == Counter({f"text {i}": n for i in range(60) if (n := count(None, 4.0, text=f"text {i}"))}) and len(set(drawn.values())) > 2
+    keys = got.where("doc_id IS NULL").select("shuffle_key").distinct().count()
+    assert keys == sum(drawn.values())
+    parts = Counter(r[0] for r in got.where("doc_id = 7").selectExpr("spark_partition_id()").collect())
+    assert len(parts) == 4 and max(parts.values()) < 0.5 * sum(parts.values())
