@@ -137,7 +137,7 @@ def train(x: np.ndarray, y: np.ndarray, monotone: tuple[int, ...], n_trees: int
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labels: int = 12_000) -> Trees | None:
-    """Train on at most `max_labels` labelled documents, chosen by a hash of the id; None if only one class is there.
+    """Train on at most `max_labels` labelled documents, chosen by a hash of the id; None if the chosen ones do not hold both classes.
 
     The chosen ids are broadcast (the parameter bounds them) and filter the documents where they are read. An id with
     several labels counts as its lowest; nulls are left out.
@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, y double, x array<double>").groupBy("doc_id").agg(F.min(F.struct("y", "x")).alias("r")).select("doc_id", "r.y", "r.x").collect()
     rows.sort(key=lambda r: r["doc_id"])
     x, y = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows])
-    if len(rows) < 40 or len(set(y.tolist())) < 2:
+    if len(set(y.tolist())) < 2:
         return None
     return train(x, y, tuple(FEATURES.values()))
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, utf8
+from .common import cut, join_hot, slices, utf8
 from .graph import components
 
 BITS, SEED = 64, 42
@@ -193,13 +193,17 @@ def links(distinct: DataFrame, radius: int = 3, tile: int = 8192, block: int = 1
 
 
 def named(each: DataFrame, distinct: DataFrame, linked: DataFrame) -> DataFrame:
-    """`each` with component_id: the least id of the fp values that `linked` (node, root) connects."""
+    """`each` with root and component_id: the component's own fp, and its least id, by the links (node, root) between fps.
+
+    `distinct` has a row for each fp with its least id and its number of copies; an fp of many copies is met by broadcast.
+    """
     members = linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct())
-    inside = members.join(distinct, members["node"] == distinct["fp"])
-    named = inside.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = members.join(named, "root").select(F.col("node").alias("fp"), "component_id")
-    labels = distinct.join(known, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return each.join(labels, "fp")
+    inside = members.join(distinct.select("fp", "least"), members["node"] == distinct["fp"])
+    names = inside.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
+    known = join_hot(members, names, ["root"], "size", members.count()).select(F.col("node").alias("fp"), "root", "component_id", F.lit(True).alias("known"))
+    own = F.when(F.col("known"), F.col("component_id")).otherwise(F.col("least"))
+    labels = cut(distinct.join(known, "fp", "left").select("fp", "copies", F.coalesce("root", "fp").alias("root"), own.alias("component_id")), "labels")
+    return join_hot(each, labels, ["fp"], "copies", labels.agg(F.sum("copies")).first()[0] or 0)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
@@ -210,6 +214,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     (null if the group has no id). Repeated rows stay. An empty table gives no rows; other columns are not read.
     """
     each = cut(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = cut(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = cut(each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "distinct")
     linked = components(links(distinct.select("fp"), radius))
     return named(each, distinct, linked).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -50,7 +50,7 @@ def planted():
 def test_components_are_those_of_all_pairs(spark):
     rows = planted()
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(map(tuple, minhash.near_copies(df).collect()), key=str)
+    got = sorted(((r.doc_id, r.component_id) for r in minhash.near_copies(df).collect()), key=str)
     assert got == brute(rows)
     assert minhash.near_copies(df.limit(0)).count() == 0
 

@@ -41,6 +41,25 @@ def test_each_stage_on_a_small_table(spark, tmp_path):
     assert Counter(map(tuple, corpus_pipeline.run(spark, where).select("doc_id", "piece", "start", "length", "ids_crc32").collect())) == Counter(map(tuple, packed.select("doc_id", "piece", "start", "length", "ids_crc32").collect()))
 
 
+def test_unlike_texts_that_share_an_id_both_stay_and_copies_without_an_id_go(spark, tmp_path):
+    rows = [(1, CLEAN.format(i=3), "en", "s0", 1), (1, "Quite another story about ships, sails and a storm in the north that nobody saw coming.", "en", "s0", 1), (1, CLEAN.format(i=3), "en", "s9", 2), (None, CLEAN.format(i=3), "en", "s0", 1), (None, "A lonely text without any number but with enough words to be its own.", "en", "s0", 1), (4, CLEAN.format(i=3), "en", "s0", 1)]
+    where = tables(spark, tmp_path, rows)
+    left = corpus_pipeline.near_dedup(spark, spark.read.parquet(f"{where}/documents.parquet"), where).collect()
+    assert Counter((r.doc_id, r.text) for r in left) == Counter({(1, rows[0][1]): 1, (1, rows[1][1]): 1, (None, rows[4][1]): 1})
+
+
+def test_clashing_columns_and_a_very_long_text(spark, tmp_path):
+    long = " ".join(CLEAN.format(i=k) for k in range(4000))
+    rows = [(i, CLEAN.format(i=i * 37), "en", "s", 9, "f", 1.5, 7) for i in range(6)] + [(77, long, "en", "s", 9, "f", 1.5, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, fp string, n double, component_id long")
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        assert {r.fp for r in out.collect()} <= {"f"}
+    packed = corpus_pipeline.pack_sequences(spark, docs, str(tmp_path)).where("doc_id = 77").collect()
+    assert sum(r.length for r in packed) > 100_000 and [r.piece for r in sorted(packed, key=lambda r: r.start)] == list(range(len(packed)))
+
+
 def test_empty_tables(spark, tmp_path):
     where = tables(spark, tmp_path, [])
     assert corpus_pipeline.run(spark, where).count() == 0
