@@ -1,18 +1,22 @@
-"""Exact substring deduplication on words: FM-index shards over wavelet matrices, searched backwards.
+"""Exact substring deduplication on words: compressed FM-index shards over wavelet trees, searched backwards.
 
 A window is `window` consecutive words. Each window is dealt to a shard by its minimizer (the least hash among its
-k-grams), so equal windows always meet, wherever they stand; runs of windows with one minimizer travel together. Runs whose
-minimizer is met once in the whole corpus cannot repeat and are not shipped; equal runs are counted and shipped once. A
-shard concatenates its runs' words, builds a suffix array, a BWT and a bit-packed wavelet matrix with rank counters, and
-searches each window backwards, all windows of a shard at once: the matching statistic of a window's end is how far
-the search gets with two or more occurrences, and a window is reported when it reaches the full length. A minimizer with more than `hot_runs` different runs is dealt once more, window by window, by the hash
-of each window's ends, after equal windows are counted together. A shard too large
-for one index is cut into blocks, and its windows stream through the index of each, so memory is bounded.
+k-grams), so equal windows always meet, wherever they stand; to stream every document through every shard would be quadratic,
+so a document is streamed as its runs of windows with one minimizer, each to the one shard that can match it. Runs whose
+minimizer is met once in the whole corpus cannot repeat and are not shipped; equal runs, told by a cryptographic hash of their
+words, are shipped once with their number. A shard concatenates its runs' words and builds an index: a BWT in a wavelet tree
+of Huffman shape with rank counters of a quarter of its bits, and a byte a word for the common prefixes of neighbouring
+suffixes. Its runs are streamed backwards, all at once, and carry the length of their match from word to word: matching
+statistics, with a match shortened at its far end by the common prefixes where it cannot grow. Words where the longest match
+met twice or more reaches the threshold are reported as intervals. A minimizer with more than `hot_runs` different runs is
+dealt once more, window by window, by the hash of the whole window, after equal windows are counted together. A shard too
+large for one index is cut into blocks, and its runs stream through the index of each, so memory is bounded.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -20,17 +24,113 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_sized, slices, utf8
-from .textvec import PAIR_BASE, Words
+from .common import cut, join_hot, join_sized, slices, utf8
+from .textvec import Words
 
 #: Words in a minimizer's k-gram, windows in a run at most, and words in one index at most.
 GRAM, RUN, INDEX_WORDS = 9, 30, 1_000_000
+#: A bitmap has eight bits for each key up to 2**MOST_BITS bits (32 MB); beyond, it lets more keys pass, and joins decide.
+MOST_BITS = 28
+
+
+class WaveletTree:
+    """Rank of any symbol in a sequence: the bits of its Huffman codes by node, level after level, in one bit vector.
+
+    Ranks are counted by 16 bits for each 64 bits, from 32 bits for each 65,536.
+    """
+
+    def __init__(self, sequence: np.ndarray, size: int):
+        counts = np.bincount(sequence, minlength=size)
+        self.count = counts
+        present = np.flatnonzero(counts)
+        by_count = present[np.argsort(counts[present], kind="stable")]
+        # Two queues: leaves by count, and inner nodes, which are made in order of theirs.
+        weight, n = counts[by_count].tolist(), len(by_count)
+        pairs: list[tuple[int, int]] = []
+        leaf, inner = 0, n
+        for made in range(n, 2 * n - 1):
+            two = []
+            for _ in range(2):
+                if leaf < n and (inner >= made or weight[leaf] <= weight[inner]):
+                    two.append(leaf)
+                    leaf += 1
+                else:
+                    two.append(inner)
+                    inner += 1
+            pairs.append((two[0], two[1]))
+            weight.append(weight[two[0]] + weight[two[1]])
+        # Inner nodes from the root down, level by level, and in each level in order of their parents.
+        self.code, self.length = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        self.child = np.full((2, max(1, n - 1)), -1, np.int64)
+        starts: list[int] = []
+        level, depth, total = ([(2 * n - 2, 0)] if n > 1 else []), 0, 0
+        while level:
+            below: list[tuple[int, int]] = []
+            after = len(starts) + len(level)
+            for node, code in level:
+                for bit, sub in enumerate(pairs[node - n]):
+                    if sub < n:
+                        self.code[by_count[sub]] = code | bit << depth
+                        self.length[by_count[sub]] = depth + 1
+                    else:
+                        self.child[bit, len(starts)] = after + len(below)
+                        below.append((sub, code | bit << depth))
+                starts.append(total)
+                total += weight[node]
+            level, depth = below, depth + 1
+        self.start = np.array([*starts, total], np.int64)
+        bits = np.zeros(total, bool)
+        symbols, node = sequence, np.zeros(len(sequence) if n > 1 else 0, np.int64)
+        depth = 0
+        while len(node):
+            at = np.arange(len(node)) + int(self.start[node[0]])
+            b = (self.code[symbols] >> depth & 1).astype(bool)
+            bits[at] = b
+            ones = np.cumsum(b) - b
+            within = ones - ones[self.start[node] - self.start[node[0]]]
+            place = np.where(b, within, at - self.start[node] - within)
+            node = self.child[b.astype(np.int64), node]
+            on = node >= 0
+            symbols, node, place = symbols[on], node[on], place[on]
+            if not len(node):
+                break
+            to = self.start[node] + place
+            to -= int(to.min())
+            moved_s, moved_n = np.empty_like(symbols), np.empty_like(node)
+            moved_s[to], moved_n[to] = symbols, node
+            symbols, node, depth = moved_s, moved_n, depth + 1
+        self.bits = np.packbits(np.concatenate([bits, np.zeros(-total % 64 + 64, bool)]), bitorder="little").view(np.uint64)
+        below_cell = np.cumsum(np.bitwise_count(self.bits).astype(np.int64))
+        below_cell = np.concatenate([[0], below_cell])[: len(self.bits)]
+        self.far = below_cell[::1024].astype(np.uint32)
+        self.near = (below_cell - np.repeat(below_cell[::1024], 1024)[: len(below_cell)]).astype(np.uint16)
+        self.ones = self._ones(self.start)
+
+    def _ones(self, at: np.ndarray) -> np.ndarray:
+        cell = at >> 6
+        below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.far[cell >> 10].astype(np.int64) + self.near[cell] + np.bitwise_count(self.bits[cell] & below)
+
+    def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """How often each symbol stands before each place; 0 for one that is not in the sequence."""
+        out = np.where(self.count[symbol] > 0, at, 0)
+        live = np.flatnonzero((self.length[symbol] > 0) & (out > 0))
+        code, node = self.code[symbol[live]], np.zeros(len(live), np.int64)
+        while len(live):
+            here = out[live]
+            ones = self._ones(self.start[node] + here) - self.ones[node]
+            bit = code & 1
+            out[live] = np.where(bit == 1, ones, here - ones)
+            node = self.child[bit, node]
+            on = node >= 0
+            live, code, node = live[on], code[on] >> 1, node[on]
+        return out
 
 
 class FMIndex:
     """Occurrences of word sequences in a list of texts; texts are sequences of ids from 1, each with a weight."""
 
-    def __init__(self, ids: np.ndarray, lengths: np.ndarray, weights: np.ndarray):
+    def __init__(self, ids: np.ndarray, lengths: np.ndarray, weights: np.ndarray, window: int):
         n_texts, n = len(lengths), len(ids) + len(lengths)
         at = np.cumsum(lengths + 1) - 1
         text = np.zeros(n, np.int64)
@@ -51,74 +151,104 @@ class FMIndex:
             rank, k = new, 2 * k
             if not n or rank[order[-1]] == n - 1:
                 break
-        self.n = n
-        self.weight = np.concatenate([[0], np.cumsum(np.repeat(weights, lengths + 1)[order])])
-        bwt = text[order - 1]
+        self.n, self.window = n, window
+        # Weights above one are rare: a bit for each place that has one, and sums over those alone.
+        more = np.repeat(weights - 1, lengths + 1)[order]
+        self.heavy = np.concatenate([[0], np.cumsum(more > 0)]).astype(np.uint32)
+        self.extra = np.concatenate([[0], np.cumsum(more[more > 0])])
         size = int(ids.max(initial=0)) + 1
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=size))])
-        self.levels: list[tuple[int, np.ndarray, np.ndarray, int]] = []
-        for b in range(max(1, (size - 1).bit_length()) - 1, -1, -1):
-            bits = (bwt >> b & 1).astype(bool)
-            packed = np.packbits(np.concatenate([bits, np.zeros(-n % 64 + 64, bool)]), bitorder="little").view(np.uint64)
-            ones = np.concatenate([[0], np.cumsum(np.bitwise_count(packed).astype(np.int64))])
-            self.levels.append((b, packed, ones, n - int(np.count_nonzero(bits))))
-            bwt = np.concatenate([bwt[~bits], bwt[bits]])
-        self.base = self._walk(np.arange(size), np.zeros(size, np.int64))
-
-    def _walk(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        for b, packed, ones, zeros in self.levels:
-            cell = at >> 6
-            below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-            rank = ones[cell] + np.bitwise_count(packed[cell] & below)
-            at = np.where(symbol >> b & 1, zeros + rank, at - rank)
+        self.tree = WaveletTree(text[order - 1], size)
+        # Words that neighbouring suffixes share, up to a window; 0 at both ends.
+        self.shared = np.zeros(n + 1, np.uint8)
+        a, b, where = order[:-1], order[1:], np.arange(1, n)
+        for t in range(window):
+            same = (text[a] == text[b]) & (text[a] > 0)
+            a, b, where = a[same], b[same], where[same]
+            if not len(where):
+                break
+            self.shared[where] = t + 1
+            inside = (a + 1 < n) & (b + 1 < n)
+            a, b, where = a[inside] + 1, b[inside] + 1, where[inside]
+        self.least = [(step, np.minimum.reduceat(self.shared, np.arange(0, n + 1, step))) for step in (8, 64, 512, 4096, 32_768) if step <= n]
+
+    def weight(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return high - low + self.extra[self.heavy[high]] - self.extra[self.heavy[low]]
+
+    def _edge(self, at: np.ndarray, depth: np.ndarray, step: int) -> np.ndarray:
+        """The nearest place from `at` on, in direction `step`, whose neighbours share fewer than `depth` words."""
+        at = at.copy()
+        live = np.flatnonzero(self.shared[at] >= depth)
+        while len(live):
+            here, want = at[live], depth[live]
+            jump = np.ones(len(live), np.int64)
+            for size, least in self.least:
+                jump[(((here + (step < 0)) & (size - 1)) == 0) & (least[here // size] >= want)] = size
+            here = here + step * jump
+            # A block that is skipped has no place that would end the search, nor has the table an end inside it.
+            at[live] = np.minimum(here, self.n)
+            live = live[self.shared[at[live]] >= want]
         return at
 
-    def search(self, text: np.ndarray, ends: np.ndarray, window: int, least: int) -> np.ndarray:
-        """Weight of the occurrences of text[end - window + 1 : end + 1] for each end; 0 once it falls below `least`."""
-        out = np.zeros(len(ends), np.int64)
-        alive = np.arange(len(ends))
-        low, high = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64)
-        for t in range(window):
-            symbol = text[ends[alive] - t]
-            known = symbol < len(self.base)
-            symbol = np.where(known, symbol, 0)
-            both = self._walk(np.concatenate([symbol, symbol]), np.concatenate([low, high])).reshape(2, -1) - self.base[symbol] + self.first[symbol]
-            found = np.where(known, self.weight[both[1]] - self.weight[both[0]], 0)
-            keep = found >= least
-            alive, low, high = alive[keep], both[0][keep], both[1][keep]
-            if not len(alive):
-                return out
-        out[alive] = self.weight[high] - self.weight[low]
+    def _shorten(self, low: np.ndarray, high: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The suffixes that share `depth` words with those of each interval."""
+        some = depth > 0
+        out = np.zeros(len(low), np.int64), np.full(len(low), self.n, np.int64)
+        out[0][some], out[1][some] = self._edge(low[some], depth[some], -1), self._edge(high[some], depth[some], 1)
         return out
 
+    def statistics(self, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Matching statistics: at each word of each text the length of the longest sequence from there on, within the text
+        and up to a window, that is met at least `least` times, and how often it is met. Texts are read backwards."""
+        out, met = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        low, high, depth = np.zeros(len(starts), np.int64), np.full(len(starts), self.n, np.int64), np.zeros(len(starts), np.int64)
+        for back in range(int(lengths.max(initial=0))):
+            on = np.flatnonzero(lengths > back)
+            place = starts[on] + lengths[on] - 1 - back
+            symbol = ids[place]
+            known = symbol < len(self.tree.count)
+            lost = on[~known]
+            low[lost], high[lost], depth[lost] = 0, self.n, 0
+            todo, symbol = on[known], symbol[known]
+            full = todo[depth[todo] == self.window]
+            if len(full):
+                depth[full] -= 1
+                low[full], high[full] = self._shorten(low[full], high[full], depth[full])
+            while len(todo):
+                both = self.tree.rank(np.concatenate([symbol, symbol]), np.concatenate([low[todo], high[todo]])).reshape(2, -1) + self.first[symbol]
+                found = self.weight(both[0], both[1]) >= least
+                grown = todo[found]
+                low[grown], high[grown] = both[0][found], both[1][found]
+                depth[grown] += 1
+                todo, symbol = todo[~found], symbol[~found]
+                some = depth[todo] > 0
+                todo, symbol = todo[some], symbol[some]
+                if len(todo):
+                    depth[todo] = np.maximum(self.shared[low[todo]], self.shared[high[todo]])
+                    low[todo], high[todo] = self._shorten(low[todo], high[todo], depth[todo])
+            out[place] = depth[on]
+            met[place] = self.weight(low[on], high[on])
+        return out, met
 
-def repeated(texts: list[bytes], counts: np.ndarray, window: int, most: int = INDEX_WORDS) -> list[int]:
-    """For each run of words a mask of those of its windows that occur twice or more in all runs, counts included.
 
-    A run that is itself counted twice has all its windows repeated, and needs no search.
-    """
+def repeated(texts: list[bytes], counts: np.ndarray, window: int, most: int = INDEX_WORDS) -> list[int]:
+    """For each run of words a mask of those of its windows that occur twice or more in all runs, counts included."""
     split = [t.split(b" ") for t in texts]
     lengths = np.fromiter(map(len, split), np.int64, len(split))
     ids = pa.array([w for s in split for w in s], pa.binary()).dictionary_encode().indices.to_numpy().astype(np.int64) + 1
     starts = np.cumsum(lengths) - lengths
-    once = np.flatnonzero(counts == 1)
-    windows = lengths[once] - window + 1
-    run = np.repeat(once, windows)
-    place = np.arange(len(run)) - np.repeat(np.cumsum(windows) - windows, windows)
-    ends = starts[run] + place + window - 1
     blocks = np.searchsorted(np.cumsum(lengths), np.arange(most, int(lengths.sum()) + most, most), "left") + 1
     bounds = np.unique(np.concatenate([[0], np.minimum(blocks, len(lengths))]))
-    total = np.zeros(len(run), np.int64)
+    least = 2 if len(bounds) == 2 else 1  # of several blocks, each adds its own occurrences
+    total = np.zeros(len(ids), np.int64)
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        inside = ids[starts[a] : starts[b - 1] + lengths[b - 1]]
-        index = FMIndex(inside, lengths[a:b], counts[a:b])
-        for at in range(0, len(run), 400_000):
-            total[at : at + 400_000] += index.search(ids, ends[at : at + 400_000], window, 2 if len(bounds) == 2 else 1)
+        index = FMIndex(ids[starts[a] : starts[b - 1] + lengths[b - 1]], lengths[a:b], counts[a:b], window)
+        depth, met = index.statistics(ids, starts, lengths, least)
+        total += np.where(depth >= window, met, 0)
+    run = np.repeat(np.arange(len(texts)), lengths)
     masks = np.zeros(len(texts), np.int64)
-    hit = total >= 2
-    np.bitwise_or.at(masks, run[hit], np.int64(1) << place[hit])
-    many = counts > 1
-    masks[many] = (np.int64(1) << (lengths[many] - window + 1)) - 1
+    hit = np.flatnonzero(total >= 2)
+    np.bitwise_or.at(masks, run[hit], np.int64(1) << (hit - starts[run[hit]]))
     return masks.tolist()
 
 
@@ -131,12 +261,12 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs_of(words: Words, window: int, gram: int = GRAM, count: bool = False) -> dict[str, np.ndarray]:
-    """Runs of consecutive windows with one minimizer: its hash, two content hashes, text, first word, windows.
+    """Runs of consecutive windows with one minimizer: its hash, text, first word in all texts and in its own, windows.
 
     With `count` instead of the content how often the minimizer stands in the run: twice in a text that repeats itself.
     """
     n, gram = len(words), min(gram, window)
-    none = {k: np.zeros(0, np.int64) for k in ("mini", "k1", "k2", "text", "start", "windows", "times")}
+    none = {k: np.zeros(0, np.int64) for k in ("mini", "text", "at", "start", "windows", "times")}
     if n < window:
         return none
     at = np.arange(n - gram + 1)
@@ -158,27 +288,50 @@ def runs_of(words: Words, window: int, gram: int = GRAM, count: bool = False) ->
         place = np.arange(int(span.sum())) - np.repeat(begin - start, span)
         times = np.add.reduceat((grams[place] == np.repeat(least[start], span)).astype(np.int64), begin)
         return {"mini": least[start].view(np.int64), "times": times}
-    end = start + windows + window - 1
     text = words.text[start]
-    return {"mini": least[start].view(np.int64), "k1": words.runs(start, end).view(np.int64), "k2": words.runs(start, end, PAIR_BASE).view(np.int64), "text": text, "start": start - words.first[text], "windows": windows}
+    return {"mini": least[start].view(np.int64), "text": text, "at": start, "start": start - words.first[text], "windows": windows}
+
+
+def keys(content: list[bytes]) -> tuple[pa.Array, pa.Array]:
+    """Two longs of a cryptographic hash of each sequence of words: no two sequences that could be written share them."""
+    both = np.frombuffer(b"".join([blake2b(c, digest_size=16).digest() for c in content]), np.int64).reshape(-1, 2)
+    return pa.array(both[:, 0]), pa.array(both[:, 1])
+
 
+class Bits:
+    """A bitmap over hashes, eight bits for each of `n` of them within MOST_BITS: a clear bit proves that a hash is not there."""
 
-def _filter(minis: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of 2**bits bits over the minimizers; its size does not grow with the corpus."""
-    places = minis.select(F.shiftrightunsigned("mini", 64 - bits).alias("place"))
-    cells = places.groupBy(F.expr("shiftright(place, 6)").alias("cell")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 AS INT)))").alias("bits"))
-    rows = cells.toArrow()
-    out = np.zeros(1 << (bits - 6), np.uint64)
-    out[rows.column("cell").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
-    return out
+    def __init__(self, hashes: DataFrame, n: int):
+        self.shift = 64 - min(MOST_BITS, max(12, (8 * n).bit_length()))
+        self.sharp = n <= 1 << (61 - self.shift)
+        places = hashes.toDF("h").select(F.shiftrightunsigned("h", self.shift).alias("place"))
+        cells = places.groupBy(F.expr("shiftright(place, 6)").alias("cell")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 AS INT)))").alias("bits"))
+        rows = cells.toArrow()
+        words = np.zeros(1 << (58 - self.shift), np.uint64)
+        words[rows.column("cell").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+        self.words = hashes.sparkSession.sparkContext.broadcast(words)
 
+    def have(self, hashes: np.ndarray) -> np.ndarray:
+        place = hashes.view(np.uint64) >> np.uint64(self.shift)
+        return (self.words.value[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
 
-def repeats(docs: DataFrame, window: int = 35, filter_bits: int = 25, hot_runs: int = 1_000) -> DataFrame:
-    """Spans of repeated windows: (doc_id, sum, spans) with spans a list of (start word, mask), for a table (doc_id, sum, text).
+    def rows(self, df: DataFrame, hash_col: str, there: bool) -> DataFrame:
+        """The rows whose hash may be there, or those whose hash is not."""
 
-    `sum` is a hash of the text, so rows that share an id are told apart unless they are alike, when they share spans.
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(self.have(batch.column(hash_col).to_numpy()) == there))
+
+        return df.mapInArrow(run, df.schema)
+
+
+def repeats(docs: DataFrame, window: int = 35, hot_runs: int = 1_000) -> DataFrame:
+    """Spans of repeated windows: (h, doc_id, sum, spans) with spans a list of (start word, mask), for a table
+    (h, doc_id, sum, text).
+
+    `sum` is a hash of the text and `h` one of both, so rows that share an id are told apart unless they are alike, when they
+    share spans.
     """
-    sc = docs.sparkSession.sparkContext
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def minis(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,26 +340,28 @@ def repeats(docs: DataFrame, window: int = 35, filter_bits: int = 25, hot_runs:
             found, at = np.unique(r["mini"], return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.bincount(at, r["times"], len(found)).astype(np.int64))], ["mini", "n"])
 
-    twice = docs.select("text").mapInArrow(minis, "mini long, n long").groupBy("mini").agg(F.sum("n").alias("n")).where("n > 1").select("mini")
-    twice = cut(twice, "minimizers")
-    bitmap = sc.broadcast(_filter(twice, filter_bits))
+    twice = cut(docs.select("text").mapInArrow(minis, "mini long, n long").groupBy("mini").agg(F.sum("n").alias("n")).where("n > 1").select("mini"), "minimizers")
+    known = Bits(twice, twice.count())
 
     def shipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1_000_000):
-            r = runs_of(Words(utf8(batch.column("text"))), window)
-            place = r["mini"].view(np.uint64) >> np.uint64(64 - filter_bits)
-            on = (bitmap.value[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
-            text = pa.array(r["text"][on])
-            yield pa.RecordBatch.from_arrays([*(pa.array(r[k][on]) for k in ("mini", "k1", "k2")), batch.column("doc_id").take(text), batch.column("sum").take(text), pa.array(r["start"][on].astype(np.int32)), pa.array(r["windows"][on].astype(np.int32))], ["mini", "k1", "k2", "doc_id", "sum", "start", "windows"])
-
-    found = docs.mapInArrow(shipped, f"mini long, k1 long, k2 long, doc_id {id_type}, sum long, start int, windows int")
-    found = cut(found.join(twice, "mini", "left_semi"), "runs")
-    distinct = found.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "sum", "start", "windows", "mini")).alias("r")).select("k1", "k2", "n", "r.*")
+            words = Words(utf8(batch.column("text")))
+            r = runs_of(words, window)
+            on = known.have(r["mini"])
+            r = {k: v[on] for k, v in r.items()}
+            content = [words.bytes_of(a, b) for a, b in zip(r["at"].tolist(), (r["at"] + r["windows"] + window - 1).tolist(), strict=True)]
+            text = pa.array(r["text"])
+            own = [batch.column(c).take(text) for c in ("h", "doc_id", "sum")]
+            yield pa.RecordBatch.from_arrays([pa.array(r["mini"]), *keys(content), *own, pa.array(r["start"].astype(np.int32)), pa.array(r["windows"].astype(np.int32))], ["mini", "k1", "k2", "h", "doc_id", "sum", "start", "windows"])
+
+    found = docs.mapInArrow(shipped, f"mini long, k1 long, k2 long, h long, doc_id {id_type}, sum long, start int, windows int")
+    found = cut(found if known.sharp else found.join(twice, "mini", "left_semi"), "runs")
+    distinct = found.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct("h", "doc_id", "sum", "start", "windows", "mini")).alias("r")).select("k1", "k2", "n", "r.*")
     distinct = cut(distinct, "distinct")
     # A minimizer with very many different runs, as where a common passage begins and ends, would make one huge shard.
     hot = distinct.groupBy("mini").count().where(F.col("count") > hot_runs).select("mini", F.lit(True).alias("hot"))
     distinct = join_sized(distinct, hot, ["mini"]).withColumn("hot", F.coalesce("hot", F.lit(False)))
-    wanted = distinct.groupBy("doc_id", "sum").agg(F.collect_list(F.struct("mini", "k1", "k2", "n", "start", "windows", "hot")).alias("wanted"))
+    wanted = cut(distinct.groupBy("h", "doc_id", "sum").agg(F.collect_list(F.struct("mini", "k1", "k2", "n", "start", "windows", "hot")).alias("wanted")), "wanted")
 
     def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1_000_000):
@@ -214,52 +369,44 @@ def repeats(docs: DataFrame, window: int = 35, filter_bits: int = 25, hot_runs:
             text = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(own).to_numpy(zero_copy_only=False))
             rows = own.flatten()
             warm = rows.field("hot").to_numpy(zero_copy_only=False)
-            words = Words(utf8(batch.column("text")), hashes=bool(warm.any()))
+            words = Words(utf8(batch.column("text")), hashes=False)
             start = words.first[text] + rows.field("start").to_numpy()
             windows = rows.field("windows").to_numpy().astype(np.int64)
-            cold = np.flatnonzero(~warm)
-            yield parts(rows, cold, words, start[cold], start[cold] + windows[cold] + window - 1, np.zeros(len(cold), np.int64))
-            hot = np.flatnonzero(warm)
-            if len(hot):
-                which = np.repeat(hot, windows[hot])
-                place = np.arange(len(which)) - np.repeat(np.cumsum(windows[hot]) - windows[hot], windows[hot])
-                yield parts(rows, which, words, start[which] + place, start[which] + place + window, place)
-
-    def parts(rows: pa.Array, which: np.ndarray, words: Words, start: np.ndarray, end: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-        """Words start..end-1 of each chosen run; windows of hot runs get hashes of their own, and of their ends."""
+            cold, hot = np.flatnonzero(~warm), np.flatnonzero(warm)
+            yield parts(rows, cold, words, start[cold], start[cold] + windows[cold] + window - 1, np.zeros(len(cold), np.int64), False)
+            which = np.repeat(hot, windows[hot])
+            place = np.arange(len(which)) - np.repeat(np.cumsum(windows[hot]) - windows[hot], windows[hot])
+            yield parts(rows, which, words, start[which] + place, start[which] + place + window, place, True)
+
+    def parts(rows: pa.Array, which: np.ndarray, words: Words, start: np.ndarray, end: np.ndarray, place: np.ndarray, part: bool) -> pa.RecordBatch:
+        """Words start..end-1 of each chosen run; windows of hot runs get keys of their own, which also deal them."""
         content = [words.bytes_of(a, b) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
         chosen = rows.take(pa.array(which))
         mini, k1, k2 = (chosen.field(k) for k in ("mini", "k1", "k2"))
-        sub, w1, w2 = pa.nulls(len(which), pa.int64()), k1, k2
-        if len(which) and chosen.field("hot")[0].as_py():
-            gram = min(GRAM, window)
-            sub = pa.array((words.runs(start, start + gram) ^ words.runs(end - gram, end, PAIR_BASE)).view(np.int64))
-            w1, w2 = pa.array(words.runs(start, end).view(np.int64)), pa.array(words.runs(start, end, PAIR_BASE).view(np.int64))
-        return pa.RecordBatch.from_arrays([mini, sub, w1, w2, k1, k2, pa.array(place.astype(np.int32)), chosen.field("n"), pa.array(content, pa.binary())], ["mini", "sub", "w1", "w2", "k1", "k2", "place", "n", "content"])
-
-    # Alike rows give the same runs; the copies fall away below.
-    same = (docs["doc_id"].eqNullSafe(wanted["doc_id"])) & (docs["sum"] == wanted["sum"])
-    content = docs.join(wanted, same).select(docs["text"], "wanted").mapInArrow(fetched, "mini long, sub long, w1 long, w2 long, k1 long, k2 long, place int, n long, content binary")
+        w1, w2 = keys(content) if part else (k1, k2)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(which), part)), w1 if part else mini, w1, w2, k1, k2, pa.array(place.astype(np.int32)), chosen.field("n"), pa.array(content, pa.binary())], ["part", "shard", "w1", "w2", "k1", "k2", "place", "n", "content"])
+
+    # Only documents that hold a run's words are moved, and of rows alike in id and text one.
+    holders = Bits(wanted.select("h"), wanted.count()).rows(docs, "h", True).groupBy("h", "doc_id", "sum").agg(F.first("text").alias("text"))
+    same = (holders["h"] == wanted["h"]) & (holders["doc_id"].eqNullSafe(wanted["doc_id"])) & (holders["sum"] == wanted["sum"])
+    content = holders.join(wanted, same).select(holders["text"], "wanted").mapInArrow(fetched, "part boolean, shard long, w1 long, w2 long, k1 long, k2 long, place int, n long, content binary")
     content = cut(content, "content")
-    cold = content.where("sub IS NULL").select("mini", F.lit(0).cast("long").alias("sub"), F.lit(False).alias("part"), "w1", "w2", "n", "content")
-    windows = content.where("sub IS NOT NULL")
-    once = windows.groupBy("mini", "sub", "w1", "w2", "k1", "k2", "place").agg(F.first("n").alias("n"), F.first("content").alias("content"))
-    warm = once.groupBy("mini", "sub", "w1", "w2").agg(F.sum("n").alias("n"), F.first("content").alias("content")).select("mini", "sub", F.lit(True).alias("part"), "w1", "w2", "n", "content")
-    dealt = cold.unionByName(warm).repartition("mini", "sub").sortWithinPartitions("mini", "sub", "w1", "w2")
+    windows = content.where("part")
+    cold = content.where("NOT part").select("part", "shard", "w1", "w2", "n", F.lit(1).cast("long").alias("rows"), "content")
+    warm = windows.groupBy("w1", "w2").agg(F.sum("n").alias("n"), F.count("*").alias("rows"), F.first("content").alias("content")).select(F.lit(True).alias("part"), F.col("w1").alias("shard"), "w1", "w2", "n", "rows", "content")
+    dealt = cold.unionByName(warm).repartition("part", "shard").sortWithinPartitions("part", "shard")
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def search(rows: list[tuple]) -> pa.RecordBatch:
-            masks = repeated([r[6] for r in rows], np.array([r[5] for r in rows], np.int64), window)
-            kept = [(r[2], r[3], r[4], m) for r, m in zip(rows, masks, strict=True) if m]
-            cols = list(zip(*kept, strict=True)) if kept else [[], [], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.bool_()), *(pa.array(c, pa.int64()) for c in cols[1:])], ["part", "w1", "w2", "mask"])
+            masks = repeated([r[6] for r in rows], np.array([r[4] for r in rows], np.int64), window)
+            kept = [(r[0], r[2], r[3], r[4], r[5], m) for r, m in zip(rows, masks, strict=True) if m]
+            cols = list(zip(*kept, strict=True)) if kept else [[]] * 6
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.bool_()), *(pa.array(c, pa.int64()) for c in cols[1:])], ["part", "w1", "w2", "n", "rows", "mask"])
 
         held: list[tuple] = []
         size = 0
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                if held and row[:5] == held[-1][:5]:
-                    continue
                 if size > INDEX_WORDS // 2 and row[:2] != held[-1][:2]:
                     yield search(held)
                     held, size = [], 0
@@ -268,11 +415,12 @@ def repeats(docs: DataFrame, window: int = 35, filter_bits: int = 25, hot_runs:
         if held:
             yield search(held)
 
-    hits = cut(dealt.mapInArrow(searched, "part boolean, w1 long, w2 long, mask long"), "masks")
-    of_runs = hits.where("NOT part").select(F.col("w1").alias("k1"), F.col("w2").alias("k2"), "mask")
-    of_parts = windows.select("w1", "w2", "k1", "k2", "place").join(hits.where("part"), ["w1", "w2"]).groupBy("k1", "k2").agg(F.expr("bit_or(shiftleft(1L, place))").alias("mask"))
-    masks = of_runs.unionByName(of_parts)
-    return found.join(masks, ["k1", "k2"]).select("doc_id", "sum", "start", "mask").distinct().groupBy("doc_id", "sum").agg(F.collect_list(F.struct("start", "mask")).alias("spans"))
+    hits = cut(dealt.mapInArrow(searched, "part boolean, w1 long, w2 long, n long, rows long, mask long"), "masks")
+    of_runs = hits.where("NOT part").select(F.col("w1").alias("k1"), F.col("w2").alias("k2"), "n", "mask")
+    of_windows = join_hot(windows.select("w1", "w2", "k1", "k2", "place", "n"), hits.where("part").select("w1", "w2", "rows"), ["w1", "w2"], "rows", windows.count())
+    of_windows = of_windows.groupBy("k1", "k2").agg(F.first("n").alias("n"), F.expr("bit_or(shiftleft(1L, place))").alias("mask"))
+    spans = join_hot(found, of_runs.unionByName(of_windows), ["k1", "k2"], "n", found.count())
+    return cut(spans.select("h", "doc_id", "sum", "start", "mask").distinct().groupBy("h", "doc_id", "sum").agg(F.collect_list(F.struct("start", "mask")).alias("spans")), "spans")
 
 
 def covered(n_words: int, spans: list[tuple[int, int]], window: int) -> np.ndarray:
@@ -287,7 +435,7 @@ def covered(n_words: int, spans: list[tuple[int, int]], window: int) -> np.ndarr
     return np.cumsum(change[:-1]) > 0
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, filter_bits: int = 25, hot_runs: int = 1_000) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, hot_runs: int = 1_000) -> DataFrame:
     """Remove from every document the words covered by windows that also start elsewhere: doc_id, n_words, n_removed, kept
     (the other words joined by one space) and removed, a list of (start, end) word ranges.
 
@@ -295,10 +443,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     an empty table gives no rows; other columns are not read.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    source = source.select("doc_id", F.xxhash64("text").alias("sum"), "text")
-    found = repeats(source, window, filter_bits, hot_runs)
-    same = (source["doc_id"].eqNullSafe(found["doc_id"])) & (source["sum"] == found["sum"])
-    joined = source.join(found, same, "left").select(source["doc_id"], "text", "spans")
+    source = source.select("doc_id", F.xxhash64("text").alias("sum"), "text").select(F.xxhash64("doc_id", "sum").alias("h"), "doc_id", "sum", "text")
+    found = repeats(source, window, hot_runs)
+    # Documents without a repeated window are not moved.
+    has = Bits(found.select("h"), found.count())
+    mine = has.rows(source, "h", True)
+    same = (mine["h"] == found["h"]) & (mine["doc_id"].eqNullSafe(found["doc_id"])) & (mine["sum"] == found["sum"])
+    joined = mine.join(found, same, "left").select(mine["doc_id"], "text", "spans")
+    rest = has.rows(source, "h", False).select("doc_id", "text", F.lit(None).cast(found.schema["spans"].dataType).alias("spans"))
+    joined = joined.unionByName(rest)
     ids = source.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {ids}, n_words long, n_removed long, kept string, removed array<struct<start:int,end:int>>"
 
