@@ -7,6 +7,8 @@ equal values alike in every document, so links survive. The rounds run in an `ag
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
+    "ipv6": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![0-9A-Za-z:.])",
     "iso_date": r"(?<![0-9-])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9-])",
     "date": r"(?<![0-9/.-])[0-9]{1,2}([/.])[0-9]{1,2}\1(?:19|20)[0-9]{2}(?![0-9/-])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{3}[ .-])[0-9]{3,4}[ .-][0-9]{4}(?![0-9])",
@@ -27,7 +30,9 @@ PATTERNS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9A-Za-z.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]|-[0-9])",
 }
-FIRST_DAY, DAYS = "1900-01-01", 73_049  # through 2099-12-31; 17 * 4297
+FIRST_DAY, DAYS, YEARS = "1900-01-01", 73_049, 200  # through 2099-12-31
+#: Days after the twelfth of their month in those years: 19, 18, 17 or 16 a month.
+LATE_DAYS = DAYS - 12 * 12 * YEARS
 
 
 def _long(c: Column) -> Column:
@@ -55,6 +60,21 @@ def feistel(a: Column, b: Column, size_a: int | Column, size_b: int | Column, ke
     return F.aggregate(F.array(*[F.lit(i) for i in range(ROUNDS)]), start, turn)
 
 
+def permuted(index: Column, size: int, key: str, kind: str) -> Column:
+    """A keyed permutation of 0 .. size - 1: one of a rectangle that holds them, taken again wherever it leads outside."""
+    side = math.isqrt(size - 1) + 1
+    other = -(-size // side)
+
+    def once(i: Column) -> Column:
+        pair = feistel(F.floor(i / other), i % other, side, other, key, kind)
+        return F.aggregate(F.array(pair), F.lit(0).cast("long"), lambda _, p: p["a"] * other + p["b"])
+
+    outside = side * other - size  # a walk meets each place outside once at most
+    if not outside:
+        return once(index)
+    return F.aggregate(F.array_repeat(F.lit(0), outside), once(index), lambda s, _: F.when(s >= size, once(s)).otherwise(s))
+
+
 def _padded(n: Column, width: int) -> Column:
     return F.lpad(n.cast("string"), width, "0")
 
@@ -145,25 +165,61 @@ def _ip(m: Column, key: str) -> Column:
     return F.when(ok, F.aggregate(F.array(pair), F.lit(""), show)).otherwise(m)
 
 
+def _ipv6(m: Column, key: str) -> Column:
+    """Network and host half are permuted apart, so that hosts of one network stay in one; shown as eight groups, whatever
+    the spelling. An address of one group, or without a digit, names nobody and stays."""
+    halves = F.split(m, "::", -1)
+    groups = lambda t: F.filter(F.split(t, ":", -1), lambda g: g != "")
+    given = F.when(F.size(halves) == 2, F.concat(groups(halves[0]), groups(F.get(halves, F.lit(1))))).otherwise(groups(m))
+    filled = F.concat(groups(halves[0]), F.array_repeat(F.lit("0"), 8 - F.size(given)), groups(F.get(halves, F.lit(1))))
+    whole = F.when(F.size(halves) == 2, filled).otherwise(given)
+    words = F.transform(whole, lambda g: F.conv(g, 16, 10).cast("long"))
+    ok = (F.size(whole) == 8) & (F.size(given) >= 2) & F.rlike(m, F.lit("[0-9]"))
+    half = lambda i, kind: feistel(words[i] * 65_536 + words[i + 1], words[i + 2] * 65_536 + words[i + 3], 1 << 32, 1 << 32, key, kind)
+    shown = lambda p: F.array(F.floor(p["a"] / 65_536), p["a"] % 65_536, F.floor(p["b"] / 65_536), p["b"] % 65_536)
+    every = F.flatten(F.transform(F.array(half(0, "ipv6/net"), half(4, "ipv6/host")), shown))
+    return F.when(ok, F.array_join(F.transform(every, lambda n: F.lower(F.hex(n.cast("long")))), ":")).otherwise(m)
+
+
 def _day(day: Column, key: str) -> Column:
     """The permutation of the days of two centuries; null for other days."""
     index = F.datediff(day, F.to_date(F.lit(FIRST_DAY)))
-    pair = feistel(F.floor(index / 4297), index % 4297, 17, 4297, key, "date")
-    moved = F.aggregate(F.array(pair), F.lit(0).cast("long"), lambda _, p: p["a"] * 4297 + p["b"])
-    return F.when(index.between(0, DAYS - 1), F.date_add(F.to_date(F.lit(FIRST_DAY)), moved.cast("int")))
+    return F.when(index.between(0, DAYS - 1), F.date_add(F.to_date(F.lit(FIRST_DAY)), permuted(index, DAYS, key, "date").cast("int")))
 
 
 def _iso_date(m: Column, key: str) -> Column:
     return F.coalesce(_day(F.try_to_date(m, "yyyy-MM-dd"), key).cast("string"), m)
 
 
+def _late_day(day: Column, key: str, kind: str) -> Column:
+    """The permutation of the days after the twelfth of their months."""
+    first = F.to_date(F.lit(FIRST_DAY))
+    start = lambda month: F.datediff(F.add_months(first, month), first) - 12 * month
+    index = start((F.year(day) - 1900) * 12 + F.month(day) - 1) + F.dayofmonth(day) - 13
+    moved = permuted(index, LATE_DAYS, key, kind)
+
+    def show(_: Column, n: Column) -> Column:
+        guess = F.floor(n * 12 * YEARS / LATE_DAYS).cast("int")  # the month, or one beside it
+        month = F.when(start(guess + 1) <= n, guess + 1).when(start(guess) <= n, guess).otherwise(guess - 1)
+        return F.aggregate(F.array(month), F.lit(None).cast("date"), lambda _, mo: F.date_add(F.add_months(first, mo), (n - start(mo) + 12).cast("int")))
+
+    return F.aggregate(F.array(moved), F.lit(None).cast("date"), show)
+
+
 def _date(m: Column, key: str) -> Column:
-    """Day first if that is a date, else month first; the order and the separator stay, day and month get two digits."""
+    """Three sets of strings are each permuted among themselves, as what is written does not say which number is the day:
+    both at most 12; the first over 12, so day first; the second over 12, so month first. Day and month get two digits."""
     parts = F.split(m, "[/.]")
-    make = lambda d, mo: F.try_to_date(F.concat_ws("-", parts[2], F.lpad(mo, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
+    a, b, year = (_long(parts[i]) for i in range(3))
     sep = F.regexp_extract(m, "([/.])", 1)
-    show = lambda day, kind: F.concat(F.date_format(day, kind.split("|")[0]), sep, F.date_format(day, kind.split("|")[1]), sep, F.date_format(day, "yyyy"))
-    return F.coalesce(show(_day(make(parts[0], parts[1]), key), "dd|MM"), show(_day(make(parts[1], parts[0]), key), "MM|dd"), m)
+    joined = lambda x, y, z: F.concat(x, sep, y, sep, z)
+    make = lambda d, mo: F.try_to_date(F.concat_ws("-", parts[2], F.lpad(mo, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
+    late = lambda day, kind, shape: F.aggregate(F.array(_late_day(day, key, kind)), F.lit(""), lambda _, d: joined(*[F.date_format(d, part) for part in shape]))
+    early = permuted(((year - 1900) * 12 + a - 1) * 12 + b - 1, 144 * YEARS, key, "date/either")
+    both = F.aggregate(F.array(early), F.lit(""), lambda _, n: joined(_padded(F.floor(n / 12) % 12 + 1, 2), _padded(n % 12 + 1, 2), (F.floor(n / 144) + 1900).cast("string")))
+    day_first, month_first = make(parts[0], parts[1]), make(parts[1], parts[0])
+    out = F.when(a.between(1, 12) & b.between(1, 12), both).when((a > 12) & day_first.isNotNull(), late(day_first, "date/day", ("dd", "MM", "yyyy")))
+    return out.when((b > 12) & month_first.isNotNull(), late(month_first, "date/month", ("MM", "dd", "yyyy"))).otherwise(m)
 
 
 def _token(text: Column, key: str, kind: str) -> Column:
@@ -226,16 +282,17 @@ def _iban(m: Column, key: str) -> Column:
 def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of one match; a match that is not valid stays as it is."""
     whole = lambda kind: F.rlike(m, F.lit(f"^(?:{PATTERNS[kind]})$"))
-    made = {"secret": _secret(m, key), "aws_key": F.concat(F.substring(m, 1, 4), _token(F.substring(m, 5, 16), key, "aws")), "email": _email(m, key), "iban": _iban(m, key), "ip": _ip(m, key), "iso_date": _iso_date(m, key), "date": _date(m, key), "ssn": _ssn(m, key), "card": _card(m, key), "phone": _phone(m, key), "intl_phone": _phone(m, key)}
+    made = {"secret": _secret(m, key), "aws_key": F.concat(F.substring(m, 1, 4), _token(F.substring(m, 5, 16), key, "aws")), "email": _email(m, key), "iban": _iban(m, key), "ip": _ip(m, key), "ipv6": _ipv6(m, key), "iso_date": _iso_date(m, key), "date": _date(m, key), "ssn": _ssn(m, key), "card": _card(m, key), "phone": _phone(m, key), "intl_phone": _phone(m, key)}
     out = F.lit(None).cast("string")
     for kind in reversed(list(made)):
         out = F.when(whole(kind), made[kind]).otherwise(out)
     return F.coalesce(out, m)
 
 
-def scrub(docs: DataFrame, key: str = "parlance", text_col: str = "text", changed_col: str = "n_pii") -> DataFrame:
+def scrub(docs: DataFrame, key: str, text_col: str = "text", changed_col: str = "n_pii") -> DataFrame:
     """All rows and columns of `docs`, with PII in the text replaced, and the number of values replaced.
 
+    Who knows `key` can undo a permutation, so it is to be kept secret; equal values get equal pseudonyms under one key.
     A null text stays null with count 0; empty texts and texts without PII stay as they are; repeated rows and null ids pass
     through; an empty table gives no rows. If `docs` has a column named like the count, the new one gets a leading
     underscore. The text's other columns (its length, say) are not recomputed.

@@ -1,10 +1,197 @@
+import hashlib
+import math
+import random
 import re
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from parlance.llm import pii
 
+KEY = "k"
+FIRST = date(1900, 1, 1)
+LATE = [d for i in range(pii.DAYS) if (d := FIRST + timedelta(i)).day > 12]
+PLACE = {d: i for i, d in enumerate(LATE)}
+
+
+# The same pseudonyms in plain Python.
+
+
+def digest(kind, r, value):
+    return int(hashlib.sha256(f"{KEY}|{kind}|{r}|{value}".encode()).hexdigest()[:15], 16)
+
+
+def feistel(a, b, size_a, size_b, kind):
+    for r in range(8):
+        if r % 2:
+            b = (b + digest(kind, r, a) % size_b) % size_b
+        else:
+            a = (a + digest(kind, r, b) % size_a) % size_a
+    return a, b
+
+
+def below(n, size, kind):
+    side = math.isqrt(size - 1) + 1
+    other = -(-size // side)
+    while True:
+        a, b = feistel(n // other, n % other, side, other, kind)
+        n = a * other + b
+        if n < size:
+            return n
+
+
+def figures(text, kind):
+    half = len(text) // 2
+    a, b = feistel(int(text[:half] or 0), int(text[half:] or 0), 10**half, 10 ** (len(text) - half), kind)
+    return (f"{a:0{half}}" if half else "") + (f"{b:0{len(text) - half}}" if text else "")
+
+
+def refill(template, new):
+    left = iter(new)
+    return "".join(next(left) if c.isdigit() else c for c in template)
+
+
+def twin_card(m):
+    d = re.sub("[^0-9]", "", m)
+    if not luhn(d) or len(set(d)) == 1:
+        return m
+    body = d[0] + figures(d[1:-1], "card")
+    return refill(m, body + next(c for c in "0123456789" if luhn(body + c)))
+
+
+def twin_phone(m):
+    d = re.sub("[^0-9]", "", m)
+    if not 7 <= len(d) <= 15:
+        return m
+    tail = 10 if len(d) >= 10 else 7
+    return refill(m, d[:-tail] + figures(d[-tail:], "phone"))
+
+
+def twin_ssn(m):
+    area, group, serial = map(int, m.split("-"))
+    if not (1 <= area <= 899 and area != 666 and group and serial):
+        return m
+    areas = [a for a in range(1, 900) if a != 666]
+    a, b = feistel(areas.index(area) * 99 + group - 1, serial - 1, 898 * 99, 9999, "ssn")
+    return f"{areas[a // 99]:03}-{a % 99 + 1:02}-{b + 1:04}"
+
+
+def twin_ip(m):
+    o = list(map(int, m.split(".")))
+    if max(o) > 255:
+        return m
+    a, b = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, "ip")
+    return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+
+
+def twin_ipv6(m):
+    left, _, right = m.partition("::")
+    left, right = left.split(":") if left else [], right.split(":") if right else []
+    if len(left + right) + ("::" in m) > 8 or len(left + right) < 2 or not re.search("[0-9]", m):
+        return m
+    n = [int(g, 16) for g in left + ["0"] * (8 - len(left) - len(right)) + right]
+    out = []
+    for i, kind in ((0, "ipv6/net"), (4, "ipv6/host")):
+        for half in feistel(n[i] * 65536 + n[i + 1], n[i + 2] * 65536 + n[i + 3], 1 << 32, 1 << 32, kind):
+            out += [half // 65536, half % 65536]
+    return ":".join(f"{w:x}" for w in out)
+
+
+def twin_iso_date(m):
+    try:
+        return str(FIRST + timedelta(below((date.fromisoformat(m) - FIRST).days, pii.DAYS, "date")))
+    except ValueError:
+        return m
+
+
+def twin_date(m):
+    sep = re.search("[/.]", m)[0]
+    a, b, year = map(int, m.split(sep))
+    try:
+        if a > 12:
+            return LATE[below(PLACE[date(year, b, a)], len(LATE), "date/day")].strftime(f"%d{sep}%m{sep}%Y")
+        if b > 12:
+            return LATE[below(PLACE[date(year, a, b)], len(LATE), "date/month")].strftime(f"%m{sep}%d{sep}%Y")
+        if not a or not b:
+            return m
+        n = below(((year - 1900) * 12 + a - 1) * 12 + b - 1, 28_800, "date/either")
+        return f"{n // 12 % 12 + 1:02}{sep}{n % 12 + 1:02}{sep}{n // 144 + 1900}"
+    except ValueError:
+        return m
+
+
+def twin_token(text, kind):
+    own = text if len(text) <= 200 else hashlib.sha256(text.encode()).hexdigest()
+    out = ""
+    for i, c in enumerate(text):
+        group = next((g for g in ("0123456789", "abcdef", "ABCDEF", "ghijklmnopqrstuvwxyz", "GHIJKLMNOPQRSTUVWXYZ") if c in g), c)
+        out += group[digest(kind, i, own) % len(group)] if len(group) > 1 else c
+    return out
+
+
+def twin_email(m):
+    h = hashlib.sha256(f"{KEY}|email|{m.lower()}".encode()).hexdigest()
+    return f"user.{h[:12]}@mail.{h[12:18]}.invalid"
+
+
+def twin_secret(m):
+    head = re.match(r"(?is)[a-z_-]+\s*[=:]\s*[\"']?", m)[0]
+    return head + twin_token(m[len(head) :], "secret")
+
+
+def twin_iban(m):
+    flat = m.replace(" ", "")
+    rest = lambda t: int("".join(str(int(c, 36)) for c in t)) % 97
+    if rest(flat[4:] + flat[:4]) != 1:
+        return m
+    account = flat[4:]
+    bank = re.match("[A-Z]*", account)[0] if re.search("[0-9]", account) else ""
+    tail = account[len(bank) :]
+    old = re.sub("[^0-9]", "", tail)
+    new, letters, out, at = figures(old, "iban"), "", "", 0
+    for c in tail:
+        if c.isdigit():
+            out, at = out + new[at], at + 1
+        else:
+            out += chr(65 + (ord(c) - 65 + digest("iban", len(out), f"{old}|{letters}") % 26) % 26)
+            letters += c
+    made = iter(f"{flat[:2]}{98 - rest(bank + out + flat[:2] + '00'):02}{bank}{out}")
+    return "".join(c if c == " " else next(made) for c in m)
+
+
+TWINS = {"secret": twin_secret, "aws_key": lambda m: m[:4] + twin_token(m[4:], "aws"), "email": twin_email, "iban": twin_iban, "ip": twin_ip, "ipv6": twin_ipv6, "iso_date": twin_iso_date, "date": twin_date, "ssn": twin_ssn, "card": twin_card, "phone": twin_phone, "intl_phone": twin_phone}
+
+
+def twin(text):
+    """(text, number of values replaced); at each place the kinds are tried in order."""
+    out, n, at = "", 0, 0
+    patterns = [re.compile(p, re.A) for p in pii.PATTERNS.values()]
+    while at < len(text):
+        m = next((m for p in patterns if (m := p.match(text, at)) and m[0]), None)
+        if not m:
+            out, at = out + text[at], at + 1
+            continue
+        kind = next(k for k in TWINS if re.fullmatch(pii.PATTERNS[k], m[0], re.A))
+        new = TWINS[kind](m[0])
+        out, n, at = out + new, n + (new != m[0]), m.end()
+    return out, n
+
+
+def made_up(rng):
+    """A value of some kind, valid or nearly so."""
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    card = d(rng.randint(12, 18))
+    card += next(c for c in "0123456789" if luhn(card + c)) if rng.random() < 0.8 else "0"
+    account = rng.choice([d(18), "WEST" + d(14), d(11) + "M" + d(4) + "Q"])
+    check = 98 - int("".join(str(int(c, 36)) for c in account + "DE00")) % 97
+    group = lambda n: ":".join(f"{rng.randrange(65536):x}" for _ in range(n))
+    return rng.choice([
+        card, " ".join([card[:4], card[4:8], card[8:]]), f"DE{check:02}{account}", f"{d(3)}-{d(2)}-{d(4)}", ".".join(str(rng.randrange(300)) for _ in range(4)), group(8), f"{group(2)}::{group(rng.randint(1, 3))}", "::1", "10:20:30",
+        f"{rng.randint(1890, 2100)}-{rng.randint(0, 13):02}-{rng.randint(0, 32):02}", f"{rng.randint(0, 32)}/{rng.randint(0, 32)}/{rng.randint(1890, 2100)}", f"{rng.randint(1, 31):02}.{rng.randint(1, 12):02}.{rng.randint(1900, 2099)}",
+        f"+1 ({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"+44 20 {d(4)} {d(4)}", f"jo.{d(2)}@mail{d(1)}.example.com", f"password: '{d(4)}abcXYZ-{d(3)}'", "AKIA" + d(8) + "ABCDEFGH", f"version {d(1)}.{d(1)}", "plain words",
+    ])
+
 
 def luhn(digits):
     total = 0
@@ -15,7 +202,7 @@ def luhn(digits):
 
 
 def scrub(spark, *texts):
-    rows = pii.scrub(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).orderBy("doc_id").collect()
+    rows = pii.scrub(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), KEY).orderBy("doc_id").collect()
     return [(r.text, r.n_pii) for r in rows]
 
 
@@ -64,6 +251,42 @@ def test_feistel_is_a_permutation(spark, a, b):
     assert {(r.a, r.b) for r in got} == {(x, y) for x in range(a) for y in range(b)}
 
 
+def test_pseudonyms_equal_those_of_plain_python(spark):
+    rng = random.Random(5)
+    texts = [f"a {made_up(rng)} b, {made_up(rng)}; {made_up(rng)}." for _ in range(1500)]
+    got = scrub(spark, *texts)
+    assert [(t, g) for t, g in zip(texts, got, strict=True) if g != twin(t)] == []
+    assert sum(n for _, n in got) > 2000
+
+
+def test_sample_documents_equal_plain_python(spark, sf001):
+    docs = spark.read.parquet(f"{sf001}/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: (r.text, r.n_pii) for r in pii.scrub(docs, KEY).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert all(got[i] == (twin(t) if t else (t, 0)) for i, t in texts.items() if len(t or "") < 5000)
+
+
+def test_every_written_date_has_its_own_pseudonym(spark):
+    days = [FIRST + timedelta(i) for i in range(0, pii.DAYS)]
+    texts = sorted({d.strftime(f) for d in days for f in ("%d/%m/%Y", "%m/%d/%Y")})
+    assert len(texts) == 28_800 + 2 * len(LATE)
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    got = {r.text for r in pii.scrub(df, KEY).collect()}
+    assert got == set(texts)
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 97, 144, 1009])
+def test_permutations_of_any_size(spark, size):
+    got = spark.range(size).select(pii.permuted(F.col("id"), size, KEY, "t").alias("n")).collect()
+    assert sorted(r.n for r in got) == list(range(size)) and [r.n for r in got] == [below(i, size, "t") for i in range(size)]
+
+
+def test_hosts_of_a_network_stay_together(spark):
+    got = [g for g, _ in scrub(spark, "2001:db8:0:1::5", "2001:DB8::1:0:0:0:5", "2001:db8:0:1::6", "2001:db8:0:2::5", "dead::beef", "::1", "std::vector 10:20:30")]
+    assert got[0] == got[1] and got[0] != got[2] and got[0].split(":")[:4] == got[2].split(":")[:4] != got[3].split(":")[:4]
+    assert got[0].split(":")[4:] == got[3].split(":")[4:] and got[4:] == ["dead::beef", "::1", "std::vector 10:20:30"]
+
+
 def test_dates_are_a_permutation_of_two_centuries(spark):
     days = spark.range(pii.DAYS).select(F.date_add(F.to_date(F.lit(pii.FIRST_DAY)), F.col("id").cast("int")).alias("d"))
     got = days.select(pii._day(F.col("d"), "k").alias("d")).agg(F.count_distinct("d"), F.min("d"), F.max("d")).first()
@@ -78,11 +301,11 @@ def test_keys_differ(spark):
 def test_nulls_columns_repeats_and_empty_tables(spark):
     rows = [(None, None, 1, "p"), (1, "jo@mail.example.com " * 3, 2, "q"), (1, "jo@mail.example.com " * 3, 2, "q"), (2, "x" * 200_000 + " 10.0.0.1", 0, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_pii int, pii_found string")
-    out = pii.scrub(df)
+    out = pii.scrub(df, KEY)
     assert out.columns == ["doc_id", "text", "n_pii", "pii_found", "_n_pii"]
     got = sorted(map(tuple, out.collect()), key=str)
     assert [r[4] for r in got] == [3, 3, 1, 0] and got[0][1] == got[1][1]
-    assert pii.scrub(df.limit(0)).count() == 0
+    assert pii.scrub(df.limit(0), KEY).count() == 0
 
 
 def test_every_valid_iban_is_permuted(spark):
