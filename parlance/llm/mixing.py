@@ -24,30 +24,35 @@ def uniform(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, _DIGITS), 16, 10).cast("long") / F.lit(float(16**_DIGITS))
 
 
-def poisson(rate: Column, u: Column) -> Column:
-    """The least n whose cumulative probability at that rate exceeds u."""
+def cumulative(rate: Column) -> Column:
+    """The probabilities of at most 0, 1, 2 ... at that rate, up to where no double below 1 lies beyond: twelve standard
+    deviations."""
 
     def step(s: Column, k: Column) -> Column:
-        on = u >= s["sum"]
         p = s["p"] * rate / k
-        return F.struct(F.when(on, s["n"] + 1).otherwise(s["n"]).alias("n"), F.when(on, p).otherwise(s["p"]).alias("p"), F.when(on, s["sum"] + p).otherwise(s["sum"]).alias("sum"))
+        total = F.element_at(s["sums"], -1) + p
+        return F.struct(p.alias("p"), F.concat(s["sums"], F.array(total)).alias("sums"))
 
-    start = F.struct(F.lit(0).alias("n"), F.exp(-rate).alias("p"), F.exp(-rate).alias("sum"))
-    # No double below 1 lies beyond twelve standard deviations.
-    last = F.floor(rate + 12 * F.sqrt(rate) + 40).cast("int")
-    return F.aggregate(F.sequence(F.lit(1), last), start, step)["n"]
+    start = F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("sums"))
+    return F.aggregate(F.sequence(F.lit(1), F.floor(rate + 12 * F.sqrt(rate) + 40).cast("int")), start, step)["sums"]
 
 
-def copies(rate: Column, seed: int, *parts: Column | str) -> Column:
-    """The Poisson count at any rate for the parts' hash: one draw up to MAX_RATE, the sum of equal shares' draws above."""
-    shares = F.ceil(rate / F.lit(MAX_RATE)).cast("int")
-    draw = lambda i: F.when(i == 0, uniform(F.lit(str(seed)), *parts)).otherwise(uniform(F.lit(f"{seed}/part"), i.cast("string"), *parts))
-    many = F.aggregate(F.transform(F.sequence(F.lit(0), shares - 1), draw), F.lit(0), lambda n, u: n + poisson(rate / shares, u))
-    return F.when(rate <= MAX_RATE, poisson(rate, uniform(F.lit(str(seed)), *parts))).otherwise(many)
+def inverse(sums: Column, u: Column) -> Column:
+    """The least n whose cumulative probability exceeds u."""
+    return F.size(F.filter(sums, lambda s: s <= u))
+
+
+def copies(shares: Column, sums: Column, seed: int, *parts: Column | str) -> Column:
+    """The Poisson count for the parts' hash: one draw, or the sum of the draws of equal shares of the rate."""
+    draw = lambda i: uniform(F.lit(f"{seed}/part"), i.cast("string"), *parts)
+    first = inverse(sums, uniform(F.lit(str(seed)), *parts))
+    rest = F.aggregate(F.sequence(F.lit(1), shares - 1), F.lit(0), lambda n, i: n + inverse(sums, draw(i)))
+    return F.when(shares > 1, first + rest).otherwise(first)
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None, source_col: str, text_col: str, total: float) -> DataFrame:
-    """(source, rate) over all documents. Sizes are code points, one at least for each document."""
+    """(source, rate, shares, sums) over all documents: a source's rate is drawn in equal shares of at most MAX_RATE, each by
+    the cumulative probabilities `sums`. Sizes are code points, one at least for each document."""
     size = F.greatest(F.length(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))), F.lit(1))
     sizes = docs.groupBy(F.col(f"`{source_col}`").cast("string").alias("source")).agg(F.sum(size).cast("double").alias("size"))
     if weights is None:
@@ -60,7 +65,9 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, source_col: str, te
     sizes = cut(sizes, "sizes")
     sums = sizes.agg(F.sum("weight"), F.sum("size")).first()
     weights_sum, sizes_sum = F.lit(float(sums[0] or 0.0)), F.lit(float(sums[1] or 0.0))
-    return sizes.select("source", F.coalesce(F.try_divide(F.col("weight") * sizes_sum * F.lit(float(total)), weights_sum * F.col("size")), F.lit(0.0)).alias("rate"))
+    rate = F.coalesce(F.try_divide(F.col("weight") * sizes_sum * F.lit(float(total)), weights_sum * F.col("size")), F.lit(0.0))
+    out = sizes.select("source", rate.alias("rate")).withColumn("shares", F.greatest(F.lit(1), F.ceil(F.col("rate") / F.lit(MAX_RATE))).cast("int"))
+    return cut(out.withColumn("sums", cumulative(F.col("rate") / F.col("shares"))), "rates")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float = 1.0, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", shuffle: bool = True) -> DataFrame:
@@ -75,11 +82,14 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float =
     """
     spark = docs.sparkSession
     copy, rate_col, key_col = fresh(docs, "copy", "rate", "shuffle_key")
-    side = rates(docs, weights, source_col, text_col, total).select(F.coalesce("source", F.lit("\0")).alias("__source"), F.col("rate").alias(rate_col))
+    side = rates(docs, weights, source_col, text_col, total).select(F.coalesce("source", F.lit("\0")).alias("__source"), F.col("rate").alias(rate_col), F.col("shares").alias("__shares"), F.col("sums").alias("__sums"))
     df = docs.withColumn("__source", F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("\0")))
     df = join_sized(df, side, ["__source"], "inner").drop("__source")
-    own = (F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
-    df = df.withColumn("__n", copies(F.col(rate_col), seed, *own)).where("__n > 0").withColumn(copy, F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
+    df = df.withColumn("__text", F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
+    own = (F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), "__text")
+    n = copies(F.col("__shares"), F.col("__sums"), seed, *own)
+    # A list of n marks gives n rows, and none for 0; the count is worked out once.
+    df = df.select("*", F.posexplode(F.array_repeat(F.lit(True), n)).alias(copy, "__mark")).drop("__shares", "__sums", "__mark")
     df = df.withColumn(key_col, (uniform(F.lit(f"{seed}/order"), *own, copy) * F.lit(float(16**_DIGITS))).cast("long"))
     if shuffle:
         # Rows alike share a key; their place in the input, which is the same in every attempt at a scan, parts them.
