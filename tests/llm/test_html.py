@@ -74,3 +74,82 @@ def test_no_page_stops_the_parser():
     bits = ["<!", "[", "]", ">", "<", "x", " ", "CDATA", "if", "--", "&", "#", "<p>", "</", "DOCTYPE", "1", "\"", "?", "]]>"]
     for _ in range(20_000):
         html.main_text("".join(bits[i] for i in rng.integers(0, len(bits), rng.integers(1, 14))))
+
+
+ARTICLE = f"<article><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></article>"
+BODY = f"Title\n\n{LONG}\n\n{LONG}"
+
+
+@pytest.mark.parametrize("layout", ["layout has-sidebar", "page with-comments", "page-header", "site-header wrapper", "nav-layout", "content sidebar-left", "no-comments", "banner"])
+def test_classes_of_the_layout_drop_no_article(layout):
+    rest = '<div class="sidebar"><p>Popular now</p></div><div id="comments"><p>First comment, quite short.</p></div>'
+    assert html.main_text(f'<body><div class="{layout}">{ARTICLE}{rest}</div></body>') == BODY
+    assert html.main_text(f'<body><div id="{layout}"><div>{ARTICLE}</div>{rest}</div><div class="cookie-notice">We use cookies</div></body>') == BODY
+    plain = ARTICLE.replace("article>", "div>")
+    if "comments" not in layout or "with" in layout or "no-" in layout:
+        assert html.main_text(f'<body><div class="{layout}">{plain}{rest}</div></body>') == BODY
+
+
+def test_reader_comments_go_however_long():
+    comments = "<div class='comments'>" + f"<p>I disagree. {LONG * 3}</p>" * 5 + "</div>"
+    assert html.main_text(f"<body>{ARTICLE}{comments}</body>") == BODY
+    assert html.main_text(f"<body><article><h1>Title</h1><p>{LONG}</p><p>{LONG}</p>{comments}</article></body>") == BODY
+    assert html.main_text(f"<body><div id=post><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></div>{comments}</body>") == BODY
+
+
+def test_hints_inside_an_article_and_inside_lines():
+    page = f"<article><p>{LONG} and <span class=ad>Buy</span> more</p><div class=promo><p>Offer of the day</p></div><section><p>{LONG}</p></section></article>"
+    assert html.main_text(page) == f"{LONG} and more\n\n{LONG}"
+
+
+def test_ratios_decide(monkeypatch):
+    """Constant or reversed ratios give other texts: of articles, containers, and lists of links."""
+    links = "".join(f"<li><a href={i}>Topic {i}</a></li>" for i in range(5))
+    pages = {
+        f"<article><p><b>a</b><i>b</i><u>c</u></p></article>{ARTICLE}": BODY,
+        f"<main><h1>Title</h1><ul>{links}</ul><p>{LONG}</p><p>{LONG}</p></main>": BODY,
+        f"<body><div><ul><li>one<li>two<li>three</ul></div><div><p>{LONG}</p><p>{LONG}</p></div></body>": f"{LONG}\n\n{LONG}",
+        f"<body><div class=widget><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><div><p>x</p><p>y</p></div></body>": f"{LONG}\n\n{LONG}\n\n{LONG}",
+    }
+    for page, text in pages.items():
+        assert html.main_text(page) == text
+    true = html.ratios
+    for other in (lambda lines, sigma: np.ones(len(lines)), lambda lines, sigma: -true(lines, sigma)):
+        monkeypatch.setattr(html, "ratios", other)
+        changed = [html.main_text(page) != text for page, text in pages.items()]
+        assert sum(changed) >= 3
+
+
+def test_two_links_in_an_article_stay():
+    page = f"<article><p>{LONG}</p><p><a href=1>Source one</a></p><p><a href=2>Source two</a></p><p>{LONG}</p></article>"
+    assert html.main_text(page) == f"{LONG}\n\nSource one\n\nSource two\n\n{LONG}"
+
+
+def test_smoothing_and_threshold_against_plain_loops():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 40):
+        for sigma in (0.5, 1.0, 2.5):
+            v = rng.uniform(0, 300, n)
+            want = []
+            reach = int(np.ceil(3 * sigma))
+            for i in range(n):
+                near = [(np.exp(-0.5 * ((j - i) / sigma) ** 2), v[j]) for j in range(max(0, i - reach), min(n, i + reach + 1))]
+                want.append(sum(w * x for w, x in near) / sum(w for w, _ in near))
+            assert np.allclose(html.smooth(v, sigma), want)
+        at = html.threshold(v)
+        low, high = v[v <= at], v[v > at]
+        if len(low) and len(high):
+            assert abs(at - (low.mean() + high.mean()) / 2) < 1e-6
+
+
+def test_time_is_linear_in_depth():
+    import time
+
+    def took(n):
+        page = "<div><b><a>" * n + "".join(f"<p>{LONG}</p></i>" for _ in range(n)) + "</div>" * n
+        began = time.perf_counter()
+        assert html.main_text(page).count("This paragraph") == n
+        return time.perf_counter() - began
+
+    took(100)
+    assert took(8000) < 24 * max(took(1000), 0.02)
