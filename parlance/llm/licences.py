@@ -134,9 +134,10 @@ def windows(lines: list[list[bytes]], confirm: float) -> list[tuple[int, int]]:
 
 
 def train(background: list[bytes], seed: int = 5, copies: int = 12, rounds: int = 120) -> Classifier:
-    """Train on damaged templates and background paragraphs; every fifth row is held out to set the temperature."""
+    """Train on damaged templates and all background paragraphs, whose words also fill up the damaged templates; every fifth
+    row is held out to set the temperature."""
     rng = np.random.default_rng(seed)
-    filler = [w for t in background[:400] for w in t.split()] or [b"the", b"of", b"and"]
+    filler = [w for t in background for w in t.split()] or [b"the", b"of", b"and"]
     texts, labels = [], []
     for c, family in enumerate(TEMPLATES):
         for template in TEMPLATES[family]:
@@ -193,14 +194,17 @@ def _licensed(text: bytes) -> bool:
     return any(len(pairs & t) >= 0.6 * len(t) for t in _TEMPLATE_PAIRS)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 400, max_paragraphs: int = 2_000) -> Classifier:
-    """Train with paragraphs of at most `max_docs` documents, chosen by a hash of the id, as the unknown class.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 400, max_paragraphs: int = 2_000, max_chars: int = 4_000) -> Classifier:
+    """Train with paragraphs of at most `max_docs` documents, chosen by a hash of the id, as the unknown class: at most
+    `max_paragraphs` lines, chosen by a hash of theirs among those of at most `max_chars` characters. These bound the sample
+    that the driver holds, whatever the corpus; `scan` then judges every line of every document. A table without such lines
+    gives a model of the templates and their shuffled words alone.
 
     Only the chosen ids are sorted and broadcast (the parameter bounds them); texts stay where they are read.
     """
     chosen = docs.select(F.col(id_col).alias("__id")).where("__id IS NOT NULL").distinct().orderBy(F.xxhash64("__id"), "__id").limit(max_docs)
     rows = docs.join(F.broadcast(chosen), docs[id_col] == chosen["__id"], "left_semi")
-    lines = rows.select(F.explode(F.split(F.col(text_col).cast("string"), "\n")).alias("line")).where(F.length("line") > 0)
+    lines = rows.select(F.explode(F.split(F.col(text_col).cast("string"), "\n")).alias("line")).where(F.length("line").between(1, max_chars))
     found = lines.orderBy(F.xxhash64("line"), "line").limit(max_paragraphs).collect()
     return train([n for n in (normal(r["line"].encode("utf-8", "replace")) for r in found) if n])
 

@@ -1,4 +1,6 @@
+import math
 import random
+import textwrap
 
 import pytest
 
@@ -99,3 +101,74 @@ def test_no_key_word_is_needed(spark, model):
     text = "Use in source and binary forms, with or without modification, is allowed provided that the following conditions are met."
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert licences.scan(df, model).first().licences == ["bsd"]
+
+
+@pytest.mark.parametrize("width", [28, 45, 72])
+def test_wrapped_notices_of_all_families(spark, model, width):
+    cases = [(f, t) for f, ts in licences.TEMPLATES.items() for t in ts]
+    wrap = lambda t, lead: "\n".join(lead + line for line in textwrap.wrap(t, width, break_long_words=False, break_on_hyphens=False))
+    rows = [(i, f"Copyright 2020 by the river\n\n{wrap(t, lead)}\n\nstone light house") for lead in ("", " * ", "# ") for i, (_, t) in enumerate(cases)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.licences) for r in licences.scan(df, model).collect()]
+    assert [(cases[i], found) for i, found in got if found != [cases[i][0]]] == []
+
+
+def test_a_whole_licence_text(spark, model):
+    mit = MIT.replace("# ", "") + ' (the "Software"), to deal\nin the Software without restriction.\n\nThe above copyright notice shall be included in all copies.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND.'
+    df = spark.createDataFrame([(1, "MIT License\n\nCopyright (c) 2021 Someone\n\n" + mit)], "doc_id long, text string")
+    assert licences.scan(df, model).first().licences == ["mit"]
+
+
+def plain_probabilities(model, text):
+    """Softmax over the families of summed weights, one feature at a time."""
+    _, buckets = licences.features([text])
+    scores = [float(model.bias[c]) + sum(float(model.weights[b, c]) for b in buckets.tolist()) / math.sqrt(max(1, len(buckets))) for c in range(len(licences.FAMILIES))]
+    parts = [math.exp((v - max(scores)) / model.temperature) for v in scores]
+    return [v / sum(parts) for v in parts]
+
+
+def plain_scan(model, text):
+    """Every run of lines of every paragraph that begins and ends with words of a template."""
+    lines = [licences.normal(line).split() for line in text.encode().split(b"\n")]
+    known = set().union(*licences._TEMPLATE_PAIRS)
+    out = set()
+    for a in range(len(lines)):
+        for b in range(a, len(lines)):
+            run = lines[a : b + 1]
+            if not all(run) or sum(map(len, run[1:-1])) > licences._INNER:
+                break
+            words = [w for line in run for w in line]
+            pairs = list(zip(words, words[1:]))
+            if not any(p in known for p in pairs[: len(run[0])]) or not any(p in known for p in pairs[max(0, len(words) - 1 - len(run[-1])) :]):
+                continue
+            p = plain_probabilities(model, b" ".join(words))
+            family = licences.FAMILIES[max(range(len(p) - 1), key=p.__getitem__)]
+            like = max(len(set(pairs) & t) / len(t) for t in model.pairs[family])
+            named = licences.NAMED.get(family)
+            if p[licences.FAMILIES.index(family)] >= 0.5 and like >= 0.6 and (a == b or not named or named & set(words)):
+                out.add(family)
+    return sorted(out)
+
+
+def test_scan_against_plain_python(spark, model):
+    rng = random.Random(8)
+    pieces = [w for ts in licences.TEMPLATES.values() for t in ts for w in (t, t.lower(), " ".join(t.split()[: rng.randint(3, 30)]))]
+    rows = []
+    for i in range(150):
+        words = " ".join(rng.choice(pieces) if rng.random() < 0.4 else rng.choice(["river stone", "the light of all", "public house", "version 3"]) for _ in range(rng.randint(1, 6))).split()
+        text, at = "", 0
+        while at < len(words):
+            n = rng.randint(1, 14)
+            text += " ".join(w for w in words[at : at + n] if rng.random() > 0.03) + rng.choice(["\n", "\n", "\n\n"])
+            at += n
+        rows.append((i, text))
+    got = {r.doc_id: r.licences for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    want = {i: plain_scan(model, t) for i, t in rows}
+    assert {i: (got[i], want[i]) for i in want if got[i] != want[i]} == {}
+    assert sum(map(bool, want.values())) > 60
+
+
+def test_the_training_sample_is_bounded(spark):
+    rows = [(i, "x " * 5000) for i in range(5)] + [(9, "a short line of the river\nanother line")]
+    model = licences.fit(spark.createDataFrame(rows, "doc_id long, text string"), max_docs=10, max_paragraphs=1, max_chars=100)
+    assert licences.scan(spark.createDataFrame([(1, "All rights reserved.")], "doc_id long, text string"), model).first().licences == ["proprietary"]

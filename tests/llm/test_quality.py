@@ -78,3 +78,30 @@ def test_fit_without_two_classes(spark):
     labels = spark.createDataFrame([(i, 1) for i in range(60)] + [(None, 0), (3, None)], "doc_id long, quality int")
     assert quality.fit(docs, labels) is None
     assert quality.fit(docs, labels.limit(0)) is None
+
+
+def test_scores_equal_a_recursive_walk():
+    rng = np.random.default_rng(4)
+    x = rng.uniform(size=(600, len(quality.FEATURES)))
+    y = (x[:, 0] + rng.normal(0, 0.3, 600) > 0.5).astype(float)
+    trees = quality.train(x, y, tuple(quality.FEATURES.values()), n_trees=12)
+
+    def walk(node, row):
+        if trees.left[node] == node:
+            return trees.value[node]
+        return walk(trees.left[node] if row[trees.feature[node]] <= trees.threshold[node] else trees.right[node], row)
+
+    want = [trees.bias + sum(walk(root, row) for root in trees.roots) for row in x[:80]]
+    assert np.allclose(trees.score(x[:80]), want)
+
+
+def test_few_labels_of_both_classes_give_trees(spark):
+    good = "The quiet river runs past the old mill and turns slow wheels while farmers talk about harvest and bread until evening comes."
+    rows = [(i, f"{good} {i}" if i % 2 else "$$$ ### " * 15 + str(i)) for i in range(39)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(39)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    assert model is not None
+    kept = {r.doc_id: r.kept for r in quality.judge(docs, model).collect()}
+    assert all(kept[i] == bool(i % 2) for i in range(39))
+    assert quality.fit(docs, labels.where("quality = 1")) is None
