@@ -19,7 +19,8 @@ from .providers import Provider, plan_from_intent, read_query
 
 @dataclass
 class Result:
-    """A question's outcome. `frame` is lazy: Spark runs when it is used."""
+    """A question's outcome. `frame` is lazy: Spark runs when it is used. Text that a provider wrote is run by the guarded
+    executor, with its cap on rows."""
 
     text: str
     target: str
@@ -38,7 +39,7 @@ class Result:
             from .sources.tables import Executor
 
             spark = next(iter(self.tables.values())).sparkSession
-            return Executor(spark, self.tables, row_limit=None).frame(self.query)
+            return Executor(spark, self.tables).frame(self.query)
         return compile_query(self.plan, self.tables)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from typing import Any
 
 from pyspark.sql import Column
@@ -27,31 +28,49 @@ SYNONYMS = {
     "value": ("amount", "price", "worth"),
     "year": ("date",),
 }
+_SYNONYM_OF = {s: frozenset(w for w, own in SYNONYMS.items() if s in own) for own in SYNONYMS.values() for s in own}
+
+
+@lru_cache(1 << 16)
+def _tokens(text: str) -> tuple[str, ...]:
+    return tuple(w.lower() for w in _WORD.findall(text))
 
 
 def tokens(text: str) -> list[str]:
     """Lower-case words; camelCase, snake_case and digits are split."""
-    return [w.lower() for w in _WORD.findall(text)]
+    return list(_tokens(text))
 
 
+@lru_cache(1 << 16)
 def stem(word: str) -> str:
     return singular(word.lower())
 
 
+@lru_cache(1 << 14)
+def _stems(text: str) -> tuple[str, ...]:
+    return tuple(map(stem, _tokens(text)))
+
+
+@lru_cache(1 << 14)
+def _label(column: str) -> tuple[str, ...]:
+    words = _stems(column)
+    return words[1:] if len(words) > 1 and len(words[0]) == 1 else words
+
+
 def label(column: str) -> list[str]:
     """Stemmed words of a column name, without a one-letter table prefix such as `o_`."""
-    words = [stem(w) for w in tokens(column)]
-    return words[1:] if len(words) > 1 and len(words[0]) == 1 else words
+    return list(_label(column))
 
 
 def has_phrase(text_words: list[str], phrase: str) -> int:
     """Position of a phrase's stemmed words in a text's stemmed words, or -1."""
-    words = [stem(w) for w in tokens(phrase)]
+    words = _stems(phrase)
     if not words:
         return -1
-    for i in range(len(text_words) - len(words) + 1):
-        if text_words[i : i + len(words)] == words:
-            return i
+    if words[0] in text_words:
+        for i in range(text_words.index(words[0]), len(text_words) - len(words) + 1):
+            if tuple(text_words[i : i + len(words)]) == words:
+                return i
     if len(words) == 1 and len(words[0]) > 5:  # `order key` names `orderkey`
         for i in range(len(text_words) - 1):
             if text_words[i] + text_words[i + 1] == words[0]:
@@ -61,14 +80,14 @@ def has_phrase(text_words: list[str], phrase: str) -> int:
 
 def overlap(words: set[str], column: str) -> float:
     """Share of a column's label that the words cover; a synonym counts for 0.6."""
-    parts = label(column)
+    parts = _label(column)
     if not parts:
         return 0.0
     got = 0.0
     for p in parts:
-        if p in words or any(len(p) > 4 and len(w) > 3 and (p.endswith(w) or p.startswith(w)) for w in words):
+        if p in words or len(p) > 4 and any(p[:n] in words or p[-n:] in words for n in range(4, len(p))):
             got += 1.0
-        elif any(s in words for s in SYNONYMS.get(p, ())) or any(p in SYNONYMS.get(w, ()) for w in words):
+        elif not words.isdisjoint(SYNONYMS.get(p, ())) or not words.isdisjoint(_SYNONYM_OF.get(p, ())):
             got += 0.6
     return got / len(parts)
 

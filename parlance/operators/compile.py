@@ -80,6 +80,8 @@ def predicate(p: Predicate, scope: Scope, compat: str = "sql") -> Column:
         column, kind = column.cast("string"), T.StringType()
     if p.op == "is_null" or p.value is None and p.op == "eq":
         return column.isNull()
+    if p.value is None and p.op == "ne":
+        return column.isNotNull()
     if p.op in ("in", "nin"):
         values = list(p.value) if isinstance(p.value, list | tuple | set) else [p.value]
         inside = column.isin([literal(v, kind) for v in values])
@@ -134,9 +136,13 @@ def _fold(parts: list[Column], op: str) -> Column:
     return out
 
 
-def aggregate(function: str, field: str, scope: Scope, compat: str = "sql") -> Column:
-    """COUNT takes `*` or `DISTINCT c`; the field may be two columns with an operator between spaces."""
+def aggregate(function: str, field: str, scope: Scope, compat: str = "sql", joined: Mapping[str, Scope] | None = None) -> Column:
+    """COUNT takes `*` or `DISTINCT c`; the field may be two columns with an operator between spaces, or `relation.column`
+    of a joined relation, whose nulls (rows without a match) do not count."""
     fn = function.upper()
+    relation, _, own = field.partition(".")
+    if own and joined and relation in joined and field.lower() not in scope.lower:
+        scope, field = joined[relation], own
     if field == "*":
         if fn != "COUNT":
             raise PlanError(f"{fn}(*) has no meaning")
@@ -180,7 +186,11 @@ def ordered(column: Column, direction: str | None) -> Column:
 
 
 def children(parent: DataFrame, parent_scope: Scope, n: Nested, tables: Tables, compat: str) -> tuple[DataFrame, Column]:
-    """`parent` with an array column for the relation: one aggregate over the children and one join, per level."""
+    """`parent` with an array column for the relation: one aggregate over the children and one join, per level.
+
+    The children of one parent are one value of one row, so a task holds all of them: a limit bounds them before they are
+    collected.
+    """
     child = _table(tables, n.target)
     scope = Scope(child, n.target)
     df = scope.df
@@ -195,19 +205,25 @@ def children(parent: DataFrame, parent_scope: Scope, n: Nested, tables: Tables,
     inner = {}
     for c in n.children:
         df, inner[c.relation] = children(df, scope, c, tables, compat)
-    fields = [scope.col(f).alias(scope.find(f)) for f in n.fields or list(scope.types)]
-    if n.order_by and n.order_by not in n.fields:
-        fields.append(scope.col(n.order_by).alias(scope.find(n.order_by)))
-    packed = F.struct(*fields, *[c.alias(r) for r, c in inner.items()])
+    wanted = list(dict.fromkeys(scope.find(f) for f in n.fields or list(scope.types)))
+    packed = F.struct(*[scope.col(f).alias(f) for f in wanted], *[c.alias(r) for r, c in inner.items()])
     key, column = f"__key_{n.relation}", f"__rows_{n.relation}"
-    rows = df.where(scope.col(n.right).isNotNull()).groupBy(scope.col(n.right).alias(key)).agg(F.array_sort(F.collect_list(packed)).alias(column))
-    joined = parent.join(rows, parent_scope.col(n.left) == F.col(name(key)), "left").drop(key)
-    array = F.coalesce(F.col(name(column)), F.array().cast(rows.schema[column].dataType))
+    rows = df.where(scope.col(n.right).isNotNull()).groupBy(scope.col(n.right).alias(key))
     if n.order_by:
-        path = scope.find(n.order_by)
-        later = F.lit(-1 if (n.order_dir or "ASC").upper() == "DESC" else 1)
-        array = F.array_sort(array, lambda a, b: F.when(a[path] < b[path], -later).when(a[path] > b[path], later).otherwise(0))
-    return joined, array
+        # Nulls come last in both directions; equal places are told apart by the row itself, so the order is always the same.
+        place = F.struct(scope.col(n.order_by).isNull().alias("none"), scope.col(n.order_by).alias("by"), packed.alias("row"))
+        down = (n.order_dir or "ASC").upper() == "DESC"
+
+        def before(a: Column, b: Column) -> Column:
+            by = F.when(a["by"] < b["by"], 1 if down else -1).when(a["by"] > b["by"], -1 if down else 1)
+            return F.when(a["none"] != b["none"], F.when(a["none"], 1).otherwise(-1)).otherwise(F.coalesce(by, F.lit(0)))
+
+        # The plain sort by the whole row comes first, and the sort by place keeps it among equals.
+        rows = rows.agg(F.transform(F.array_sort(F.array_sort(F.collect_list(place)), before), lambda r: r["row"]).alias(column))
+    else:
+        rows = rows.agg(F.array_sort(F.collect_list(packed)).alias(column))
+    joined = parent.join(rows, parent_scope.col(n.left) == F.col(name(key)), "left").drop(key)
+    return joined, F.coalesce(F.col(name(column)), F.array().cast(rows.schema[column].dataType))
 
 
 def _table(tables: Tables, entity: str) -> DataFrame:
@@ -252,7 +268,7 @@ def compile_query(q: Query, tables: Tables, compat: str = "sql") -> DataFrame:
     for j in q.joins:
         keys += [(scopes[id(j)].col(f), f"{j.target}_{f}") for f in j.fields]
     if q.grouped:
-        return _page(_grouped(df, base, q, keys, compat), q, None)
+        return _page(_grouped(df, base, q, keys, compat, {j.relation: scopes[id(j)] for j in q.joins}), q, None)
     columns = [c.alias(a) for c, a in keys] or [F.col(f"{name(q.entity)}.*")]
     if q.distinct:
         out = df.select(*columns, *nested).distinct()
@@ -283,9 +299,9 @@ def _subquery(df: DataFrame, base: Scope, s: Any, tables: Tables, compat: str) -
     return kept.where(ok).drop("__all", "__known")
 
 
-def _grouped(df: DataFrame, base: Scope, q: Query, keys: list[tuple[Column, str]], compat: str) -> DataFrame:
-    aggs = [aggregate(a.function, a.field, base, compat).alias(a.name) for a in q.aggregates]
-    hidden = [aggregate(h.function, h.field, base, compat).alias(f"__having_{i}") for i, h in enumerate(q.having)]
+def _grouped(df: DataFrame, base: Scope, q: Query, keys: list[tuple[Column, str]], compat: str, joined: Mapping[str, Scope]) -> DataFrame:
+    aggs = [aggregate(a.function, a.field, base, compat, joined).alias(a.name) for a in q.aggregates]
+    hidden = [aggregate(h.function, h.field, base, compat, joined).alias(f"__having_{i}") for i, h in enumerate(q.having)]
     out = df.groupBy(*[c.alias(a) for c, a in keys]).agg(*(aggs + hidden or [F.count("*").alias("__n")]))
     for i, h in enumerate(q.having):
         out = out.where(_compare(F.col(f"__having_{i}"), COMPARISONS.get(h.op, "eq"), F.lit(h.value)))

@@ -54,7 +54,8 @@ def render_sql(q: Query) -> str:
     for s in q.subqueries:
         inner = "".join(f" {'AND' if i else 'WHERE'} {_predicate(p, quote(s.target))}" for i, p in enumerate(s.filters))
         where.append(f"{base}.{quote(s.key)} {'NOT ' * s.negated}IN (SELECT {quote(s.target)}.{quote(s.target_field)} FROM {quote(s.target)}{inner})")
-    columns += [f"{_aggregate(a.function, a.field, base)} AS {quote(a.name)}" for a in q.aggregates]
+    joined = {j.relation: quote(alias) for j, alias in zip(q.joins, aliases, strict=True)}
+    columns += [f"{_aggregate(a.function, a.field, base, joined)} AS {quote(a.name)}" for a in q.aggregates]
     if q.grouped and not columns:
         columns = ["count(*) AS `count`"]
     parts = [f"SELECT {'DISTINCT ' * (q.distinct and not q.grouped)}{', '.join(columns) or base + '.*'}", f"FROM {quote(q.entity)} AS {base}", *joins]
@@ -63,7 +64,7 @@ def render_sql(q: Query) -> str:
     if q.grouped and keys:
         parts.append("GROUP BY " + ", ".join(dict.fromkeys(keys)))
     if q.having:
-        parts.append("HAVING " + " AND ".join(f"{_aggregate(h.function, h.field, base)} {_SIGNS[COMPARISONS.get(h.op, 'eq')]} {sql_literal(h.value)}" for h in q.having))
+        parts.append("HAVING " + " AND ".join(f"{_aggregate(h.function, h.field, base, joined)} {_SIGNS[COMPARISONS.get(h.op, 'eq')]} {sql_literal(h.value)}" for h in q.having))
     if q.order_by and q.order_dir and not (q.grouped and not keys):
         by = quote(q.order_by) if q.grouped or q.distinct else f"{base}.{quote(q.order_by)}"
         parts.append(f"ORDER BY {by} {q.order_dir.upper()} NULLS LAST")
@@ -74,8 +75,11 @@ def render_sql(q: Query) -> str:
     return " ".join(parts)
 
 
-def _aggregate(function: str, field: str, base: str) -> str:
+def _aggregate(function: str, field: str, base: str, joined: dict[str, str]) -> str:
     fn = function.upper()
+    relation, _, own = field.partition(".")
+    if own and relation in joined:
+        base, field = joined[relation], own
     if field == "*":
         return f"{fn}(*)"
     if field.upper().startswith("DISTINCT "):
@@ -92,6 +96,8 @@ def _predicate(p: Predicate, scope: str) -> str:
         return f"{column} {_SIGNS[p.op]} {scope}.{quote(p.value.name)}"
     if p.op == "is_null" or (p.value is None and p.op == "eq"):
         return f"{column} IS NULL"
+    if p.value is None and p.op == "ne":
+        return f"{column} IS NOT NULL"
     if p.op in ("in", "nin"):
         values = p.value if isinstance(p.value, list | tuple | set) else [p.value]
         return f"{column} {'NOT ' * (p.op == 'nin')}IN ({', '.join(map(sql_literal, values))})"

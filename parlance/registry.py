@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import evaluate, mapping, synth
+from . import registry_tools
 from .engine import Engine
 from .functions.text import novelty
 from .operators.compile import compile_query
@@ -80,10 +80,6 @@ def _json_compat(query: Query) -> Run:
     return lambda spark, sf_dir: compile_query(query, {"lines": _outer(spark, sf_dir)}, "json")
 
 
-def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mapping.profile(_open(spark, sf_dir)("customer").select("c_mktsegment"))
-
-
 QUERIES: dict[str, tuple[Run, str | None]] = {
     "project_cols": (plan(q("orders", "o_orderkey o_totalprice")), "SELECT o_orderkey, o_totalprice FROM orders"),
     "select_all": (plan(q("nation")), "SELECT * FROM nation"),
@@ -139,7 +135,6 @@ QUERIES: dict[str, tuple[Run, str | None]] = {
     "limit_offset": (plan(q("orders", "o_orderkey", order_by="o_orderkey", order_dir="ASC", limit=10, offset=20)), "SELECT o_orderkey FROM orders ORDER BY o_orderkey NULLS LAST LIMIT 10 OFFSET 20"),
     "topk": (plan(q("customer", "c_name", order_by="c_custkey", order_dir="DESC", limit=5)), "SELECT c_name FROM customer ORDER BY c_custkey DESC NULLS LAST LIMIT 5"),
     "group_order_limit": (plan(q("orders", "o_custkey", aggregates=(A("COUNT", "*", "n"),), order_by="o_custkey", order_dir="DESC", limit=7)), "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY 1 ORDER BY 1 DESC NULLS LAST LIMIT 7"),
-    "row_cap": (lambda s, d: tables.Executor(s, {"orders": _open(s, d)("orders")}, 100).frame("SELECT o_orderkey AS credit_limit FROM orders"), None),
     "direct_sql": (lambda s, d: tables.Executor(s, {"orders": _open(s, d)("orders")}, None).frame("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus"), "SELECT o_orderstatus, COUNT(*) AS n FROM orders GROUP BY 1"),
     "nested_one_hop": (
         _exploded(q("customer", "c_custkey", nested=(Nested("orders", "orders", "c_custkey", "o_custkey", ("o_orderkey", "o_orderstatus")),)), "orders", "c_custkey o_orderkey o_orderstatus"),
@@ -184,20 +179,19 @@ QUERIES: dict[str, tuple[Run, str | None]] = {
     "nl_count_distinct": (asked("count distinct brand of parts"), "SELECT COUNT(DISTINCT p_brand) AS count_p_brand FROM part"),
     "nl_having": (asked("which customers have more than 12 orders"), "SELECT c_custkey FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1 HAVING COUNT(*) > 12"),
     "nl_batch": (batch.conversations, None),
-    "map_profile": (_profile, "SELECT DISTINCT 'c_mktsegment' AS field, lower(c_mktsegment) AS alias, c_mktsegment AS value FROM customer"),
-    "dataset_validate": (evaluate.validation_demo, "SELECT * FROM (VALUES ('empty text', 1::BIGINT), ('ok', 2::BIGINT), ('unknown target', 1::BIGINT)) t(state, n)"),
-    "synth_examples": (synth.demo, None),
     "synth_novelty": (
         lambda s, d: _open(s, d)("part").select("p_partkey", F.round(novelty(F.col("p_name"), F.col("p_type")), 9).alias("novelty")),
         """WITH w AS (SELECT p_partkey, list_distinct(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9_]+'), lambda x: x <> '')) AS a, list_distinct(list_filter(regexp_split_to_array(lower(p_type), '[^a-z0-9_]+'), lambda x: x <> '')) AS b FROM part),
         s AS (SELECT p_partkey, len(list_intersect(a, b)) AS i, len(list_distinct(list_concat(a, b))) AS u FROM w)
         SELECT p_partkey, round(CASE WHEN u = 0 THEN 0.0::DOUBLE ELSE 1 - i::DOUBLE / u END, 9) AS novelty FROM s""",
     ),
-    "eval_report": (evaluate.report_demo, "SELECT * FROM (VALUES ('easy', 2::BIGINT, 0.5::DOUBLE, 1.0::DOUBLE), ('hard', 1::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE)) t(difficulty, n, structural, execution)"),
     "stream_windows": (live.windows_demo, "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, COUNT(*) AS n FROM events GROUP BY 1, 2"),
 }
 
 
+QUERIES |= registry_tools.QUERIES
+
+
 def queries() -> dict[str, Run]:
     return {key: run for key, (run, _) in QUERIES.items()}
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,26 +14,35 @@ from ..plans.ir import PlanError
 from ..plans.planner import Planner
 from ..plans.render import render_graphql, render_sql
 
+#: Questions whose plans a task keeps at hand.
+REMEMBERED = 20_000
 SCHEMA = "req_id long, entity string, query string, confidence double, n_notes int, error string"
 
 
 def plan_all(questions: DataFrame, catalog: Catalog, target: str = "sql") -> DataFrame:
     """Plans of a table (req_id, text), batch or streaming; a question that cannot be planned gives its error. Null texts
-    are planned as empty ones."""
+    are planned as empty ones. Rows are dealt evenly over the cores, and a task plans equal texts once while it remembers
+    them."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         planner = Planner(catalog, target)
+
+        @lru_cache(REMEMBERED)
+        def planned(text: str) -> tuple:
+            try:
+                p = planner.plan(text)
+                return p.query.entity, render_graphql(p.query) if target == "graphql" else render_sql(p.query), p.confidence, len(p.notes), None
+            except PlanError as e:
+                return None, None, 0.0, 0, str(e)
+
         for pdf in frames:
-            rows = []
-            for req, text in zip(pdf["req_id"], pdf["text"], strict=True):
-                try:
-                    p = planner.plan(text or "")
-                    rows.append((req, p.query.entity, render_graphql(p.query) if target == "graphql" else render_sql(p.query), p.confidence, len(p.notes), None))
-                except PlanError as e:
-                    rows.append((req, None, None, 0.0, 0, str(e)))
+            rows = [(req, *planned(text or "")) for req, text in zip(pdf["req_id"], pdf["text"], strict=True)]
             yield pd.DataFrame(rows, columns=["req_id", "entity", "query", "confidence", "n_notes", "error"])
 
-    return questions.select(F.col("req_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, SCHEMA)
+    asked = questions.select(F.col("req_id").cast("long"), F.col("text").cast("string"))
+    if not questions.isStreaming:
+        asked = asked.repartition(questions.sparkSession.sparkContext.defaultParallelism)
+    return asked.mapInPandas(run, SCHEMA)
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:

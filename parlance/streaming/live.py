@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.compile import Scope, condition
-from ..plans.ir import Query
+from ..plans.ir import PlanError, Query
 
 
 def filtered(stream: DataFrame, q: Query) -> DataFrame:
@@ -33,17 +33,41 @@ def windows_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     stream = reader.parquet(path) if _is_folder(spark, path) else reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = f"windows_{uuid.uuid4().hex}"
-    sink = stream_to_table(windowed(stream, "ts", "1 hour", "10000 days", "event_type"), name)
-    sink.awaitTermination()
-    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    counted = windowed(stream, "ts", "1 hour", LATE, "event_type")
+    return finished(counted, f"windows_{uuid.uuid4().hex}").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
-def stream_to_table(df: DataFrame, name: str):
-    """Run a stream over what is there now into an in-memory table of complete results."""
-    conf = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir")
-    place = f"{conf.rstrip('/')}/streams/{name}" if conf else tempfile.mkdtemp(prefix="parlance-stream-")
-    return df.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", place).trigger(availableNow=True).start()
+#: How late a row may come behind the latest one seen.
+LATE = "7 days"
+
+
+def finished(df: DataFrame, name: str) -> DataFrame:
+    """Run a windowed stream over what is there now, in append mode, into Parquet files of the shared folder, and read them.
+
+    A window is written once the watermark has passed it, and its state is dropped. The last windows are still open when the
+    input ends: the state they hold is read from the query's checkpoint, so no row is missing.
+    """
+    spark = df.sparkSession
+    place = f"{shared_dir(spark).rstrip('/')}/streams/{name}"
+    query = df.writeStream.format("parquet").outputMode("append").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    closed = spark.read.schema(df.schema).parquet(f"{place}/rows")
+    state = spark.read.format("statestore").load(f"{place}/state")
+    keys = [c for c in df.columns if c not in ("start", "n")]
+    names = {f.name: i for i, f in enumerate(state.schema["key"].dataType.fields)}
+    window = next(n for n in names if n.startswith("window"))
+    still = state.select(F.col(f"key.`{window}`.start").alias("start"), *[F.col(f"key.`{next(n for n in names if n.startswith(k))}`").alias(k) for k in keys], F.col("value.count").alias("n"))
+    return closed.unionByName(still.select(*df.columns))
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only where the session is local."""
+    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if conf:
+        return conf
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise PlanError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="parlance-stream-")
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:

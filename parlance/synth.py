@@ -102,8 +102,3 @@ def spread(questions: DataFrame, n: int = 3) -> DataFrame:
             yield pd.DataFrame(rows, columns=["req_id", "variant", "text", "rank"])
 
     return questions.mapInPandas(run, "req_id long, variant int, text string, rank double")
-
-
-def demo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, "show top 5 orders with status open"), (2, "how many customers per segment"), (3, "list accounts with balance over 100")]
-    return spread(spark.createDataFrame(rows, "req_id long, text string"))

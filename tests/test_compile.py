@@ -6,15 +6,17 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from parlance import registry
+from parlance import registry, synth
 from parlance.engine import Engine
 from parlance.evaluate import Example, evaluate, graphql_signature, same_rows, sql_signature, structural
 from parlance.operators.compile import compile_query
 from parlance.plans.catalog import from_schema
 from parlance.plans.ir import Aggregate, Group, Having, Join, Nested, PlanError, Predicate, Query, Subquery
+from parlance.plans.planner import Planner
 from parlance.plans.render import render_sql
 from parlance.providers import Echo, Scripted
 from parlance.sources import jsondata, tables
+from parlance.streaming import live
 
 P = Predicate
 ROWS = [(1, "a", 10.0, None), (2, "b", None, 1), (3, None, 5.5, 2), (4, "a", 10.0, 3), (5, "c", -1.0, None), (5, "c", -1.0, None)]
@@ -168,7 +170,87 @@ def test_registered_queries_equal_their_sql(spark, sf001, key):
     assert Counter(plain([r[n] for n in names]) for r in df.collect()) == want
 
 
-def test_rest_of_the_registry_runs(spark, sf001):
-    assert registry.QUERIES["nl_batch"][0](spark, sf001).where("query IS NULL AND error IS NULL").count() == 0
-    assert registry.QUERIES["synth_examples"][0](spark, sf001).count() > 3
-    assert registry.QUERIES["row_cap"][0](spark, sf001).count() == 100
+def test_bulk_plans_and_variants_equal_those_made_one_by_one(spark, sf001):
+    planner = Planner(tables.catalog(tables.parquet(spark, sf001)))
+    turns = {r.id: r.text for r in spark.read.parquet(f"{sf001}/conversations.parquet").selectExpr("xxhash64(conv_id, turn) AS id", "text").collect()}
+    got = registry.QUERIES["nl_batch"][0](spark, sf001).collect()
+    assert len(got) == len(turns)
+    for r in got:
+        p = planner.plan(turns[r.req_id] or "")
+        assert (r.entity, r.query, r.confidence, r.n_notes, r.error) == (p.query.entity, render_sql(p.query), p.confidence, len(p.notes), None)
+    made = {}
+    for r in registry.QUERIES["synth_examples"][0](spark, sf001).collect():
+        made.setdefault(r.req_id, {})[r.variant] = (r.text, r["rank"])
+    for i, text in turns.items():
+        want = synth.variants(text or "", 3, dict.fromkeys(("generic", synth.domain(text or ""), "frame")))
+        assert [made.get(i, {})[k] for k in range(len(want))] == want
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT try_reflect('java.lang.System', 'getProperty', 'user.name')", "SELECT reflect('java.lang.System', 'exit', 1)", "SELECT * FROM text.`/etc/hostname`", "SELECT * FROM parquet.`/tmp`", "WITH a AS (SELECT * FROM csv.`/etc/passwd`) SELECT * FROM a",
+        "SELECT (SELECT max(value) FROM text.`/etc/hostname`)", "SELECT 1 WHERE EXISTS (SELECT java_method('java.lang.System', 'getenv', 'HOME'))", "SET spark.sql.shuffle.partitions=3", "DROP VIEW orders", "INSERT INTO orders SELECT * FROM orders", "CREATE TABLE x AS SELECT 1",
+        "SELECT 1; SELECT 2", "EXPLAIN SELECT 1", "SHOW TABLES", "BEGIN SELECT 1; END", "EXECUTE IMMEDIATE 'SELECT 1'", "SELECT * FROM IDENTIFIER('text.`/etc/hostname`')", "not sql at all", "", "CACHE TABLE orders", "ADD JAR 'x.jar'",
+    ],
+)
+def test_only_reading_statements_over_plain_tables_are_run(spark, sf001, sql):
+    executor = tables.Executor(spark, {"orders": spark.read.parquet(f"{sf001}/orders.parquet")})
+    with pytest.raises(PlanError):
+        executor.frame(sql)
+    rows, error = jsondata.sql(spark, sql, {"orders": [{"id": 1}]})
+    assert rows == [] and error
+
+
+def test_reading_statements_are_run(spark, sf001):
+    executor = tables.Executor(spark, {"orders": spark.read.parquet(f"{sf001}/orders.parquet")})
+    for sql, n in (
+        ('SELECT "a;b" AS x', 1), ("SELECT 1;", 1), ("VALUES (1), (2)", 2), ("TABLE orders", 1500), ("FROM orders SELECT o_orderkey LIMIT 3", 3), ("(SELECT 1) UNION ALL (SELECT 2)", 2), ("WITH a AS (SELECT o_orderkey AS k FROM orders), b AS (SELECT * FROM a WHERE k < 5) SELECT * FROM b JOIN a USING (k)", None),
+        ("SELECT o_orderstatus, count(*), rank() OVER (ORDER BY count(*)) FROM orders GROUP BY o_orderstatus HAVING count(*) > 0", 3), ("SELECT * FROM orders PIVOT (count(o_orderkey) FOR o_orderstatus IN ('F', 'O'))", None), ("SELECT x FROM orders LATERAL VIEW explode(array(1)) t AS x LIMIT 2", 2), ("SELECT * FROM range(4)", 4),
+        ("SELECT 'drop table x' AS reflect, `o_orderkey` FROM orders WHERE o_orderkey IN (SELECT max(o_orderkey) FROM orders)", 1), ("-- delete from orders\nSELECT 1", 1),
+    ):
+        got = executor.execute(sql)
+        assert n is None or len(got) == n, sql
+
+
+def test_provider_text_is_capped_and_guarded(spark, sf001):
+    found = {"lineitem": spark.read.parquet(f"{sf001}/lineitem.parquet")}
+    catalog = from_schema(None, None, found)
+    big = "SELECT a.l_orderkey FROM lineitem a JOIN lineitem b ON a.l_linenumber = b.l_linenumber"
+    answer = Engine(found, catalog, Scripted([big])).generate("x", mode="llm")
+    assert answer.plan is None and answer.frame.count() == 10_000
+    with pytest.raises(PlanError):
+        Engine(found, catalog, Scripted(["SELECT reflect('a', 'b') AS x FROM lineitem"])).generate("x", mode="llm").frame
+
+
+def test_nested_order_without_fields_and_with_nulls(spark):
+    parents = spark.createDataFrame([(1,), (2,)], "id int")
+    rows = [(1, "a", 3), (1, "b", None), (1, "c", 5), (1, "d", 3), (2, "e", None)]
+    data = {"p": parents, "c": spark.createDataFrame(rows, "pid int, name string, n int")}
+
+    def names(fields, direction):
+        q = Query("p", ("id",), nested=(Nested("kids", "c", "id", "pid", fields, (), (), "n", direction),))
+        out = compile_query(q, data)
+        return out.schema["kids"].dataType.elementType.names, {r.id: [k.name for k in r.kids] for r in out.collect()}
+
+    assert names((), "ASC") == (["pid", "name", "n"], {1: ["a", "d", "c", "b"], 2: ["e"]})
+    assert names(("name",), "DESC") == (["name"], {1: ["c", "a", "d", "b"], 2: ["e"]})
+
+
+def test_counts_of_a_joined_relation_leave_out_rows_without_a_match(spark):
+    data = {"p": spark.createDataFrame([(1,), (2,), (3,)], "id int"), "c": spark.createDataFrame([(1,), (1,), (2,)], "pid int")}
+    q = Query("p", ("id",), joins=(Join("kids", "c", "id", "pid"),), having=(Having("COUNT", "kids.pid", "<", 2),))
+    assert sorted(r.id for r in compile_query(q, data).collect()) == [2, 3]
+    for n, df in data.items():
+        df.createOrReplaceTempView(n)
+    assert sorted(r.id for r in spark.sql(render_sql(q)).collect()) == [2, 3]
+
+
+def test_a_stream_writes_closed_windows_and_keeps_the_open_ones(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    rows = [(datetime(2024, 1, 1) + timedelta(hours=h), "ab"[h % 2]) for h in range(600)]
+    spark.createDataFrame(rows, "ts timestamp_ntz, kind string").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("ts timestamp_ntz, kind string").parquet(f"{tmp_path}/in")
+    got = live.finished(live.windowed(stream, "ts", "1 day", "3 days", "kind"), "t").collect()
+    assert sum(r.n for r in got) == 600 and len(got) == 50 and all(r.n == 12 for r in got)
