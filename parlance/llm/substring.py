@@ -29,7 +29,7 @@ from .textvec import Words
 
 #: Words in a minimizer's k-gram, windows in a run at most, and words in one index at most.
 GRAM, RUN, INDEX_WORDS = 9, 30, 1_000_000
-#: A bitmap has eight bits for each key up to 2**MOST_BITS bits (32 MB); beyond, it lets more keys pass, and joins decide.
+#: A bitmap has sixteen bits for each key up to 2**MOST_BITS bits (32 MB); beyond, it lets more keys pass, and joins decide.
 MOST_BITS = 28
 
 
@@ -299,21 +299,29 @@ def keys(content: list[bytes]) -> tuple[pa.Array, pa.Array]:
 
 
 class Bits:
-    """A bitmap over hashes, eight bits for each of `n` of them within MOST_BITS: a clear bit proves that a hash is not there."""
+    """A bitmap over hashes, sixteen bits and two places for each of `n` of them within MOST_BITS: a hash with a clear place
+    is not there, and one that is not there has both set in about one case of seventy.
+
+    The places are the two lowest runs of MOST_BITS bits, since the highest bits of minimizers are mostly zero.
+    """
 
     def __init__(self, hashes: DataFrame, n: int):
-        self.shift = 64 - min(MOST_BITS, max(12, (8 * n).bit_length()))
-        self.sharp = n <= 1 << (61 - self.shift)
-        places = hashes.toDF("h").select(F.shiftrightunsigned("h", self.shift).alias("place"))
+        bits = min(MOST_BITS, max(12, (16 * n).bit_length()))
+        self.mask = (1 << bits) - 1
+        self.sharp = 16 * n <= 1 << bits
+        places = hashes.toDF("h").select(F.explode(F.array(F.col("h").bitwiseAND(F.lit(self.mask)), F.shiftrightunsigned("h", MOST_BITS).bitwiseAND(F.lit(self.mask)))).alias("place"))
         cells = places.groupBy(F.expr("shiftright(place, 6)").alias("cell")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 AS INT)))").alias("bits"))
         rows = cells.toArrow()
-        words = np.zeros(1 << (58 - self.shift), np.uint64)
+        words = np.zeros(1 << (bits - 6), np.uint64)
         words[rows.column("cell").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
         self.words = hashes.sparkSession.sparkContext.broadcast(words)
 
     def have(self, hashes: np.ndarray) -> np.ndarray:
-        place = hashes.view(np.uint64) >> np.uint64(self.shift)
-        return (self.words.value[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+        words, h = self.words.value, hashes.view(np.uint64)
+        out = np.ones(len(h), bool)
+        for place in (h & np.uint64(self.mask), h >> np.uint64(MOST_BITS) & np.uint64(self.mask)):
+            out &= (words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return out
 
     def rows(self, df: DataFrame, hash_col: str, there: bool) -> DataFrame:
         """The rows whose hash may be there, or those whose hash is not."""

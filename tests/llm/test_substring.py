@@ -124,5 +124,13 @@ def test_windows_that_share_their_ends(spark):
     assert {r.doc_id for r in got if r.n_removed} == {7, 100}
 
 
+def test_a_bitmap_knows_its_hashes_and_few_others(spark):
+    rng = np.random.default_rng(1)
+    # Like minimizers: the highest bits are mostly zero.
+    own, other = (np.minimum.reduce(rng.integers(0, 1 << 63, (20, 20_000), np.uint64) * np.uint64(2)).view(np.int64) for _ in range(2))
+    bits = substring.Bits(spark.createDataFrame([(int(h),) for h in own], "h long"), len(own))
+    assert bits.sharp and bits.have(own).all() and bits.have(other).mean() < 0.03
+
+
 def test_empty_table(spark):
     assert substring.dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
