@@ -5,8 +5,8 @@ k-grams), so equal windows always meet, wherever they stand; to stream every doc
 so a document is streamed as its runs of windows with one minimizer, each to the one shard that can match it. Runs whose
 minimizer is met once in the whole corpus cannot repeat and are not shipped; equal runs, told by a cryptographic hash of their
 words, are shipped once with their number. A shard concatenates its runs' words and builds an index: a BWT in a wavelet tree
-of Huffman shape with rank counters of a quarter of its bits, and a byte a word for the common prefixes of neighbouring
-suffixes. Its runs are streamed backwards, all at once, and carry the length of their match from word to word: matching
+of Huffman shape with rank counters of a quarter of its bits, and beside it, while the shard is searched, the common prefixes
+of neighbouring suffixes. Its runs are streamed backwards, all at once, and carry the length of their match from word to word: matching
 statistics, with a match shortened at its far end by the common prefixes where it cannot grow. Words where the longest match
 met twice or more reaches the threshold are reported as intervals. A minimizer with more than `hot_runs` different runs is
 dealt once more, window by window, by the hash of the whole window, after equal windows are counted together. A shard too
@@ -62,23 +62,22 @@ class WaveletTree:
         # Inner nodes from the root down, level by level, and in each level in order of their parents.
         self.code, self.length = np.zeros(size, np.int64), np.zeros(size, np.int64)
         self.child = np.full((2, max(1, n - 1)), -1, np.int64)
-        starts: list[int] = []
-        level, depth, total = ([(2 * n - 2, 0)] if n > 1 else []), 0, 0
-        while level:
-            below: list[tuple[int, int]] = []
-            after = len(starts) + len(level)
-            for node, code in level:
-                for bit, sub in enumerate(pairs[node - n]):
-                    if sub < n:
-                        self.code[by_count[sub]] = code | bit << depth
-                        self.length[by_count[sub]] = depth + 1
-                    else:
-                        self.child[bit, len(starts)] = after + len(below)
-                        below.append((sub, code | bit << depth))
-                starts.append(total)
-                total += weight[node]
-            level, depth = below, depth + 1
-        self.start = np.array([*starts, total], np.int64)
+        below, sizes = np.array(pairs, np.int64).reshape(-1, 2), np.array(weight, np.int64)
+        level, code = (np.array([2 * n - 2]) if n > 1 else np.zeros(0, np.int64)), np.zeros(1, np.int64)
+        starts, depth, number = [], 0, 0
+        while len(level):
+            starts.append(sizes[level])
+            subs, codes = below[level - n], np.stack([code, code | 1 << depth], 1)
+            leaf = subs < n
+            self.code[by_count[subs[leaf]]], self.length[by_count[subs[leaf]]] = codes[leaf], depth + 1
+            place = np.full(subs.shape, -1)
+            place[~leaf] = number + len(level) + np.arange(np.count_nonzero(~leaf))
+            self.child[:, number : number + len(level)] = place.T
+            number += len(level)
+            level, code, depth = subs[~leaf], codes[~leaf], depth + 1
+        starts = np.concatenate([[0], np.cumsum(np.concatenate(starts))]) if starts else np.zeros(1, np.int64)
+        total = int(starts[-1])
+        self.start = starts
         bits = np.zeros(total, bool)
         symbols, node = sequence, np.zeros(len(sequence) if n > 1 else 0, np.int64)
         depth = 0
@@ -170,40 +169,31 @@ class FMIndex:
             self.shared[where] = t + 1
             inside = (a + 1 < n) & (b + 1 < n)
             a, b, where = a[inside] + 1, b[inside] + 1, where[inside]
-        self.least = [(step, np.minimum.reduceat(self.shared, np.arange(0, n + 1, step))) for step in (8, 64, 512, 4096, 32_768) if step <= n]
+        # For each place the nearest one before and after it whose neighbours share fewer words.
+        self.before, self.after = np.zeros(n + 1, np.int32), np.full(n + 1, n, np.int32)
+        places = np.arange(n + 1, dtype=np.int32)
+        for depth in np.unique(self.shared)[1:].tolist():
+            here = np.flatnonzero(self.shared == depth)
+            less = self.shared < depth
+            self.before[here] = np.maximum.accumulate(np.where(less, places, 0))[here]
+            self.after[here] = np.minimum.accumulate(np.where(less, places, n)[::-1])[::-1][here]
 
     def weight(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         return high - low + self.extra[self.heavy[high]] - self.extra[self.heavy[low]]
 
-    def _edge(self, at: np.ndarray, depth: np.ndarray, step: int) -> np.ndarray:
-        """The nearest place from `at` on, in direction `step`, whose neighbours share fewer than `depth` words."""
-        at = at.copy()
-        live = np.flatnonzero(self.shared[at] >= depth)
-        while len(live):
-            here, want = at[live], depth[live]
-            jump = np.ones(len(live), np.int64)
-            for size, least in self.least:
-                jump[(((here + (step < 0)) & (size - 1)) == 0) & (least[here // size] >= want)] = size
-            here = here + step * jump
-            # A block that is skipped has no place that would end the search, nor has the table an end inside it.
-            at[live] = np.minimum(here, self.n)
-            live = live[self.shared[at[live]] >= want]
-        return at
-
     def _shorten(self, low: np.ndarray, high: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The suffixes that share `depth` words with those of each interval."""
-        some = depth > 0
-        out = np.zeros(len(low), np.int64), np.full(len(low), self.n, np.int64)
-        out[0][some], out[1][some] = self._edge(low[some], depth[some], -1), self._edge(high[some], depth[some], 1)
-        return out
+        """The suffixes that share `depth` words with those of each interval, where no bound of it shares more."""
+        return np.where(self.shared[low] >= depth, self.before[low], low), np.where(self.shared[high] >= depth, self.after[high], high)
 
-    def statistics(self, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    def statistics(self, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, least: int, wanted: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Matching statistics: at each word of each text the length of the longest sequence from there on, within the text
-        and up to a window, that is met at least `least` times, and how often it is met. Texts are read backwards."""
+        and up to a window, that is met at least `least` times, and how often it is met. Texts are read backwards; one is left,
+        with zeros for the rest, once no sequence of `wanted` words can fit before the end of its match."""
         out, met = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
         low, high, depth = np.zeros(len(starts), np.int64), np.full(len(starts), self.n, np.int64), np.zeros(len(starts), np.int64)
+        on = np.arange(len(starts))
         for back in range(int(lengths.max(initial=0))):
-            on = np.flatnonzero(lengths > back)
+            on = on[lengths[on] > back]
             place = starts[on] + lengths[on] - 1 - back
             symbol = ids[place]
             known = symbol < len(self.tree.count)
@@ -228,6 +218,7 @@ class FMIndex:
                     low[todo], high[todo] = self._shorten(low[todo], high[todo], depth[todo])
             out[place] = depth[on]
             met[place] = self.weight(low[on], high[on])
+            on = on[lengths[on] - 1 - back + depth[on] >= wanted]
         return out, met
 
 
@@ -243,7 +234,7 @@ def repeated(texts: list[bytes], counts: np.ndarray, window: int, most: int = IN
     total = np.zeros(len(ids), np.int64)
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         index = FMIndex(ids[starts[a] : starts[b - 1] + lengths[b - 1]], lengths[a:b], counts[a:b], window)
-        depth, met = index.statistics(ids, starts, lengths, least)
+        depth, met = index.statistics(ids, starts, lengths, least, window)
         total += np.where(depth >= window, met, 0)
     run = np.repeat(np.arange(len(texts)), lengths)
     masks = np.zeros(len(texts), np.int64)
@@ -395,7 +386,9 @@ def repeats(docs: DataFrame, window: int = 35, hot_runs: int = 1_000) -> DataFra
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(which), part)), w1 if part else mini, w1, w2, k1, k2, pa.array(place.astype(np.int32)), chosen.field("n"), pa.array(content, pa.binary())], ["part", "shard", "w1", "w2", "k1", "k2", "place", "n", "content"])
 
     # Only documents that hold a run's words are moved, and of rows alike in id and text one.
-    holders = Bits(wanted.select("h"), wanted.count()).rows(docs, "h", True).groupBy("h", "doc_id", "sum").agg(F.first("text").alias("text"))
+    holders = Bits(wanted.select("h"), wanted.count()).rows(docs, "h", True)
+    if not docs.groupBy("h").count().where("count > 1").isEmpty():
+        holders = holders.groupBy("h", "doc_id", "sum").agg(F.first("text").alias("text"))
     same = (holders["h"] == wanted["h"]) & (holders["doc_id"].eqNullSafe(wanted["doc_id"])) & (holders["sum"] == wanted["sum"])
     content = holders.join(wanted, same).select(holders["text"], "wanted").mapInArrow(fetched, "part boolean, shard long, w1 long, w2 long, k1 long, k2 long, place int, n long, content binary")
     content = cut(content, "content")
