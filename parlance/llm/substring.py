@@ -28,9 +28,10 @@ from .common import cut, join_hot, join_sized, slices, utf8
 from .textvec import Words
 
 #: Words in a minimizer's k-gram, windows in a run at most, and words in one index at most.
-GRAM, RUN, INDEX_WORDS = 9, 30, 1_000_000
+GRAM, RUN, INDEX_WORDS = 9, 30, 600_000
 #: A bitmap has sixteen bits for each key up to 2**MOST_BITS bits (32 MB); beyond, it lets more keys pass, and joins decide.
 MOST_BITS = 28
+MOST_KEYS = 500_000
 
 
 class WaveletTree:
@@ -150,6 +151,7 @@ class FMIndex:
             rank, k = new, 2 * k
             if not n or rank[order[-1]] == n - 1:
                 break
+        del second, key, ranked, new, rank
         self.n, self.window = n, window
         # Weights above one are rare: a bit for each place that has one, and sums over those alone.
         more = np.repeat(weights - 1, lengths + 1)[order]
@@ -224,10 +226,11 @@ class FMIndex:
 
 def repeated(texts: list[bytes], counts: np.ndarray, window: int, most: int = INDEX_WORDS) -> list[int]:
     """For each run of words a mask of those of its windows that occur twice or more in all runs, counts included."""
-    split = [t.split(b" ") for t in texts]
-    lengths = np.fromiter(map(len, split), np.int64, len(split))
-    ids = pa.array([w for s in split for w in s], pa.binary()).dictionary_encode().indices.to_numpy().astype(np.int64) + 1
-    starts = np.cumsum(lengths) - lengths
+    split = pa.compute.split_pattern(pa.array(texts, pa.binary()), b" ")
+    starts = split.offsets.to_numpy().astype(np.int64)
+    starts, lengths = starts[:-1], np.diff(starts)
+    ids = split.flatten().dictionary_encode().indices.to_numpy().astype(np.int64) + 1
+    del split
     blocks = np.searchsorted(np.cumsum(lengths), np.arange(most, int(lengths.sum()) + most, most), "left") + 1
     bounds = np.unique(np.concatenate([[0], np.minimum(blocks, len(lengths))]))
     least = 2 if len(bounds) == 2 else 1  # of several blocks, each adds its own occurrences
@@ -314,14 +317,14 @@ class Bits:
             out &= (words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
         return out
 
-    def rows(self, df: DataFrame, hash_col: str, there: bool) -> DataFrame:
-        """The rows whose hash may be there, or those whose hash is not."""
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array(self.have(batch.column(hash_col).to_numpy()) == there))
-
-        return df.mapInArrow(run, df.schema)
+def _parted(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(rows whose h is among the keys, the other rows) by broadcasts of at most MOST_KEYS numbers; beyond that (all rows,
+    None), and the join that follows decides."""
+    if keys.count() > MOST_KEYS:
+        return docs, None
+    side = F.broadcast(keys.select("h").distinct())
+    return docs.join(side, "h", "left_semi"), docs.join(side, "h", "left_anti")
 
 
 def repeats(docs: DataFrame, window: int = 35, hot_runs: int = 1_000) -> DataFrame:
@@ -386,7 +389,7 @@ def repeats(docs: DataFrame, window: int = 35, hot_runs: int = 1_000) -> DataFra
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(which), part)), w1 if part else mini, w1, w2, k1, k2, pa.array(place.astype(np.int32)), chosen.field("n"), pa.array(content, pa.binary())], ["part", "shard", "w1", "w2", "k1", "k2", "place", "n", "content"])
 
     # Only documents that hold a run's words are moved, and of rows alike in id and text one.
-    holders = Bits(wanted.select("h"), wanted.count()).rows(docs, "h", True)
+    holders, _ = _parted(docs, wanted)
     if not docs.groupBy("h").count().where("count > 1").isEmpty():
         holders = holders.groupBy("h", "doc_id", "sum").agg(F.first("text").alias("text"))
     same = (holders["h"] == wanted["h"]) & (holders["doc_id"].eqNullSafe(wanted["doc_id"])) & (holders["sum"] == wanted["sum"])
@@ -447,12 +450,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     source = source.select("doc_id", F.xxhash64("text").alias("sum"), "text").select(F.xxhash64("doc_id", "sum").alias("h"), "doc_id", "sum", "text")
     found = repeats(source, window, hot_runs)
     # Documents without a repeated window are not moved.
-    has = Bits(found.select("h"), found.count())
-    mine = has.rows(source, "h", True)
+    mine, rest = _parted(source, found)
     same = (mine["h"] == found["h"]) & (mine["doc_id"].eqNullSafe(found["doc_id"])) & (mine["sum"] == found["sum"])
     joined = mine.join(found, same, "left").select(mine["doc_id"], "text", "spans")
-    rest = has.rows(source, "h", False).select("doc_id", "text", F.lit(None).cast(found.schema["spans"].dataType).alias("spans"))
-    joined = joined.unionByName(rest)
+    if rest is not None:
+        joined = joined.unionByName(rest.select("doc_id", "text", F.lit(None).cast(found.schema["spans"].dataType).alias("spans")))
     ids = source.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {ids}, n_words long, n_removed long, kept string, removed array<struct<start:int,end:int>>"
 
