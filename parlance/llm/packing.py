@@ -109,6 +109,79 @@ _TAILED = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-
 _WORD = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 
 
+#: Classes of bytes: white space, letters, digits, the lead byte of U+00C0 to U+00FF, what follows it, and bytes that tell no
+#: class by themselves; all else is a sign.
+SPACE, LETTER, DIGIT, SIGN, LEAD, FOLLOW, OTHER = range(7)
+_CLASS = np.full(256, SIGN, np.uint8)
+_CLASS[[9, 10, 11, 12, 13, 32]] = SPACE
+_CLASS[[*range(65, 91), *range(97, 123)]] = LETTER
+_CLASS[48:58] = DIGIT
+_CLASS[0x80:0xC0] = FOLLOW
+_CLASS[0xC0:] = OTHER
+_CLASS[0xC3] = LEAD
+_TIMES, _DIVIDED = 0x97, 0xB7  # the two signs among them
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a large string column, and where its texts begin and end in them."""
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw, offsets - offsets[0]
+
+
+def _classes(raw: np.ndarray) -> np.ndarray:
+    """The class of each byte; both bytes of a letter or sign from U+00C0 to U+00FF have the character's."""
+    kind = _CLASS[raw]
+    lead = np.flatnonzero(kind == LEAD)
+    if len(lead):
+        second = raw[lead + 1]
+        own = np.where((second == _TIMES) | (second == _DIVIDED), SIGN, LETTER).astype(np.uint8)
+        kind[lead], kind[lead + 1] = own, own
+    return kind
+
+
+def plainly(column: pa.Array) -> np.ndarray:
+    """Whether a text's bytes tell its pre-tokens: ASCII and U+00C0 to U+00FF alone."""
+    raw, offsets = _bytes(column)
+    bad = np.flatnonzero(_classes(raw) > SIGN)
+    return np.diff(np.searchsorted(bad, offsets)) == 0 if len(bad) else np.ones(len(column), bool)
+
+
+def piece_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the pre-tokens of plain texts begin, as the byte-level pattern has them: a contraction after an apostrophe that
+    begins a pre-token; runs of letters, of digits, and of signs, each with one space before it; of a run of white space before
+    something else, all but its last character, and that one unless it is a space; white space at the end of a text."""
+    n = len(raw)
+    if not n:
+        return np.zeros(0, np.int64)
+    kind = _classes(raw)
+    begin = np.zeros(n + 1, bool)
+    begin[offsets[:-1]] = True
+    space = kind == SPACE
+    after = np.zeros(n, bool)  # white space before, in the same text
+    after[1:] = space[:-1]
+    after &= ~begin[:n]
+    start = begin[:n].copy()
+    start[1:] |= kind[1:] != kind[:-1]
+    # A space goes with what follows it.
+    joined = np.flatnonzero(after & ~space)
+    start[joined] = raw[joined - 1] != 32
+    start[joined - 1] = True
+    quote = np.flatnonzero(raw[:-1] == 39)
+    if len(quote):
+        quote = quote[start[quote] & ~begin[quote + 1]]
+        one = raw[quote + 1]
+        two = raw[np.minimum(quote + 2, n - 1)]
+        inside = (quote + 2 < n) & ~begin[np.minimum(quote + 2, n)]
+        short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+        long = inside & (((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l")))
+        start[quote[short | long] + 1] = False
+        for at in (quote[short] + 2, quote[long] + 3):
+            start[at[at < n]] = True
+    return np.flatnonzero(start)
+
+
 class Encoder:
     """Token ids of texts by a `tokenizers` file, with a bounded memo of the pieces of texts.
 
@@ -133,6 +206,8 @@ class Encoder:
         self.first: dict[str, bytes | None] = {}
         self.later: dict[str, bytes | None] = {}
         self.line_end = self._ids(["\n"])[0]
+        #: Ids of whole pre-tokens, with the space before them.
+        self.pieces: dict[bytes, bytes] = {}
 
     def _ids(self, texts: list[str], words: bool = False) -> list[bytes]:
         tokenizer = self.words if words else self.tokenizer
@@ -196,7 +271,43 @@ class Encoder:
             memo[part] = self.line_end.join([memo[split[0]], *[self.first[p] for p in split[1:]]])
 
     def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text. Chunks are told apart and ids gathered outside Python."""
+        """Little-endian unsigned 32-bit ids of each text: by pre-tokens where bytes tell them, else by chunks."""
+        column = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        plain = plainly(column)
+        for special in self.special:
+            plain &= ~pa.compute.match_substring(column, special).to_numpy(zero_copy_only=False)
+        out = self._by_pieces(column.filter(pa.array(plain)))
+        if not plain.all():
+            rest = iter(self._by_chunks(column.filter(pa.array(~plain))))
+            done = iter(out)
+            out = [next(done) if p else next(rest) for p in plain.tolist()]
+        return out
+
+    def _by_pieces(self, column: pa.Array) -> list[bytes]:
+        """Every distinct pre-token of a batch is looked up once, and the library encodes those not seen before."""
+        raw, offsets = _bytes(column)
+        starts = piece_starts(raw, offsets)
+        ends = np.append(starts, len(raw)).astype(np.int64)
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+        coded = pieces.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        found = list(map(self.pieces.get, distinct))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        if new:
+            if len(self.pieces) + len(new) > self.most:
+                for part in [p for p in self.pieces if len(p) > 7]:
+                    del self.pieces[part]
+                if len(self.pieces) + len(new) > self.most:
+                    self.pieces.clear()
+            for i, ids in zip(new, self._ids([distinct[i].decode() for i in new], True), strict=True):
+                found[i] = self.pieces[distinct[i]] = ids
+        gathered = pa.array(found, pa.large_binary()).take(coded.indices)
+        bounds = np.frombuffer(gathered.buffers()[1], np.int64)[np.searchsorted(starts, offsets)].tolist() if len(starts) else [0] * len(offsets)
+        ids = memoryview(gathered.buffers()[2] or b"")
+        return [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def _by_chunks(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Chunks are told apart and ids gathered outside Python."""
         column = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         lists = pa.compute.split_pattern(column, " ")
         offsets = lists.offsets.to_numpy()

@@ -49,6 +49,21 @@ def test_encoder_equals_the_library():
             assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+@given(st.lists(st.text(st.sampled_from("ab zZ019  \n\t\r'stmdrevl.,!-é×÷ÿÀ\x1c\x00"), max_size=40), max_size=6), st.sampled_from([5, 100_000]))
+@settings(max_examples=300, deadline=None)
+def test_encoder_equals_the_library_on_any_plain_text(texts, memo):
+    if memo not in ENCODERS:
+        ENCODERS[memo] = packing.Encoder(PATH, memo=memo)
+    encoder, tokenizer = ENCODERS[memo], ENCODERS[memo].tokenizer
+    for own in (texts, [*texts, "漢字 x", "<|endoftext|>"]):
+        for got, text in zip(encoder.encode(own), own, strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert packing.plainly(packing.pa.array(texts, packing.pa.large_string())).all()
+
+
+ENCODERS = {}
+
+
 def check(rows, docs, capacity):
     tokenizer = Tokenizer.from_file(PATH)
     use = defaultdict(list)
