@@ -4,7 +4,8 @@ from fractions import Fraction
 import numpy as np
 
 import corpus_pipeline
-from parlance.llm import minhash
+from parlance.llm import common, minhash
+from parlance.llm.graph import components
 
 
 def shingles(text, size=5):
@@ -57,11 +58,11 @@ def test_components_are_those_of_all_pairs(spark):
 
 def test_tiles_lose_no_link(spark):
     rows = planted()[:160]
-    each = minhash.shingle_sets(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 5).localCheckpoint()
-    distinct = each.selectExpr("fp", "doc_id AS least", "row", "n").localCheckpoint()
-    from parlance.llm.graph import components
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "xxhash64(text) AS sum")
+    each = common.cut(minhash.signatures(docs, 5))
+    distinct = each.selectExpr("fp", "sum", "n").dropDuplicates(["fp"])
 
-    a, b = (sorted(map(tuple, components(minhash.links(each, distinct, 0.8, tile=t)).collect())) for t in (1024, 2))
+    a, b = (sorted(map(tuple, components(minhash.links(docs, each, distinct, 0.8, 5, tile=t)).collect())) for t in (1024, 2))
     assert a and a == b
 
 
