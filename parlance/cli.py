@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 from typing import Any
 
@@ -13,6 +14,7 @@ from .engine import Engine
 from .evaluate import same_rows
 from .plans.catalog import from_schema, infer
 from .plans.ir import PlanError
+from .providers import Echo, HttpChat, Provider
 from .rewrite import rewrite
 
 
@@ -41,11 +43,29 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--write-mapping", metavar="FILE")
     p.add_argument("--benchmark", choices=("spider", "bird"))
     p.add_argument("--benchmark-root")
+    p.add_argument("--benchmark-mode", choices=("exact", "structural", "execution"), default="structural", help="execution runs both queries over --tables")
+    p.add_argument("--benchmark-db", nargs="*", default=[], help="only these databases")
+    p.add_argument("--expected-file", help="JSON list of rows to compare the rows with")
+    p.add_argument("--provider", choices=("echo", "http"), default="echo", help="who answers in the provider modes")
+    p.add_argument("--provider-url")
+    p.add_argument("--provider-key-variable", default="", metavar="NAME", help="environment variable that holds the key")
+    p.add_argument("--provider-model", default="")
+    p.add_argument("--provider-timeout", type=float, default=30.0)
+    p.add_argument("--provider-retries", type=int, default=2)
     p.add_argument("--limit", type=int)
     p.add_argument("-v", "--verbose", action="store_true")
     return p
 
 
+def provider(a: argparse.Namespace) -> Provider:
+    """The provider that the options name; the echo makes the provider modes fall back to the rules, with a note."""
+    if a.provider == "echo":
+        return Echo()
+    if not a.provider_url or not a.provider_model:
+        raise PlanError("an HTTP provider needs --provider-url and --provider-model")
+    return HttpChat(a.provider_url, os.environ.get(a.provider_key_variable, ""), a.provider_model, a.provider_timeout, a.provider_retries)
+
+
 def load(inline: str | None, path: str | None) -> dict[str, Any]:
     """A JSON object from a file with the inline one laid over it."""
     out: dict[str, Any] = {}
@@ -74,9 +94,19 @@ def run(a: argparse.Namespace) -> dict[str, Any]:
         from .sources import benchmarks
 
         spark = session()
-        examples = getattr(benchmarks, a.benchmark)(spark, a.benchmark_root, limit=a.limit)
-        rows, _, text = benchmarks.run(spark, Engine(), examples, mode="structural")
-        return {"examples": len(rows), "report": text.splitlines()}
+        examples = getattr(benchmarks, a.benchmark)(spark, a.benchmark_root, limit=a.limit, databases=set(a.benchmark_db) or None)
+        for e in examples:
+            e.context.setdefault("mode", a.mode)
+        backend = None
+        if a.benchmark_mode == "execution":
+            from .sources.tables import TABLES, Executor, parquet
+
+            if not a.tables:
+                raise PlanError("execution needs --tables")
+            backend = Executor(spark, parquet(spark, a.tables, tuple(a.table_names) or TABLES))
+        rows, _, text = benchmarks.run(spark, Engine(provider=provider(a)), examples, backend, a.benchmark_mode)
+        out = {"examples": len(rows), "report": text.splitlines()}
+        return out | ({"rows": [vars(r) for r in rows]} if a.verbose else {})
     if payload and not schema:
         schema = infer(payload.get(a.root_key, payload) if a.root_key else payload)
     tables = None
@@ -87,8 +117,6 @@ def run(a: argparse.Namespace) -> dict[str, Any]:
     catalog = from_schema(schema, mapping, tables)
     out: dict[str, Any] = {}
     if a.write_mapping:
-        import os
-
         os.makedirs(os.path.dirname(os.path.abspath(a.write_mapping)), exist_ok=True)
         with open(a.write_mapping, "w", encoding="utf-8") as f:
             json.dump(mappings.generate(catalog, tables), f, indent=2)
@@ -96,7 +124,7 @@ def run(a: argparse.Namespace) -> dict[str, Any]:
     if not a.text:
         return out
     text = rewrite(a.text).text if a.rewrite else a.text
-    result = Engine(tables, catalog).generate(text, a.target, mode=a.mode, strict=a.strict)
+    result = Engine(tables, catalog, provider(a)).generate(text, a.target, mode=a.mode, strict=a.strict)
     out |= {"text": text, "target": a.target, "query": result.query, "confidence": result.confidence, "notes": result.notes}
     if a.verbose:
         out["plan"] = result.metadata
@@ -112,7 +140,10 @@ def run(a: argparse.Namespace) -> dict[str, Any]:
             out["rows"], out["error"] = jsondata.sql(spark, result.query, payload, a.root_key)
         else:
             out["rows"], out["note"] = jsondata.run(spark, result.plan, payload, a.root_key)
-        if a.expected_query:
+        if a.expected_file:
+            with open(a.expected_file, encoding="utf-8") as f:
+                out["match"] = same_rows(out["rows"], json.load(f))
+        elif a.expected_query:
             expected, error = jsondata.sql(spark, a.expected_query, payload, a.root_key)
             out["match"] = error is None and same_rows(out["rows"], expected)
     return out
