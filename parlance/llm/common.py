@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -71,6 +72,10 @@ def join_hot(df: DataFrame, side: DataFrame, on: list[str], weight: str, total:
     return df.join(F.broadcast(hot), on).unionByName(df.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on))
 
 
+#: The C library's call that gives freed memory back, where it has one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """A string column's values as bytes, without decoding; nulls stay None."""
     return column.cast(pa.binary()).to_pylist()
@@ -78,6 +83,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds at most `most_bytes` of `text`, or one row; no text is ever cut."""
+    batch = None
     for batch in batches:
         sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
         start, total = 0, 0
@@ -88,6 +94,11 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4_000
             total += n
         if start < batch.num_rows:
             yield batch.slice(start)
+    # The worker process stays for other tasks: what this one no longer needs goes back to the system.
+    del batch
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -191,7 +191,7 @@ class Encoder:
     empty or holds other white space has no ids of its own: its text is encoded as a whole, as are texts with special tokens.
     """
 
-    def __init__(self, path: str, memo: int = 600_000):
+    def __init__(self, path: str, memo: int = 250_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.most = Tokenizer.from_file(path), memo
@@ -351,7 +351,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         if tokenizer not in _ENCODERS:
             _ENCODERS[tokenizer] = Encoder(tokenizer)
-        for batch in slices(batches, "text", 6_000_000):
+        for batch in slices(batches, "text", 4_000_000):
             rows: list[tuple] = []
             for d, ids in enumerate(_ENCODERS[tokenizer].encode(pa.compute.fill_null(batch.column("text"), ""))):
                 ids += ends
