@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import minhash, mixing, packing, pii, quality
+from parlance.llm import mixing, nearcopies, packing, pii, quality
 from parlance.llm.common import cut, join_hot
 from parlance.llm.queries import TEST_KEY
 
@@ -32,10 +32,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies (five-word shingles, Jaccard 0.8 or more): the one with the smallest id,
     of several with that id the one whose text has the least hash; one without an id only where none has one. Unlike texts
-    that share an id are different documents. Rows alike in id and text are one. Three of 64 SimHash bits, op6's contract,
-    would leave most such pairs.
+    that share an id are different documents. Rows alike in id and text are one. SimHash fingerprints of 512 bits propose the
+    pairs, as three of 64 bits, op6's contract, would leave most of them; whole shingle sets confirm.
     """
-    found = cut(minhash.near_copies(docs).groupBy("root", "doc_id", "sum").agg(F.count("*").alias("n")), "found")
+    found = cut(nearcopies.near_copies(docs).groupBy("root", "doc_id", "sum").agg(F.count("*").alias("n")), "found")
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "sum")
     first = found.groupBy("root").agg(F.min(rank).alias("r"), F.count("*").alias("members"))
     marked = join_hot(found, first, ["root"], "members", found.count()).select(F.col("doc_id").alias("__id"), F.col("sum").alias("__sum"), "n", (rank == F.col("r")).alias("first"))

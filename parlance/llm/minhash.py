@@ -96,15 +96,21 @@ def local_roots(sets: list[np.ndarray], least: Fraction) -> np.ndarray:
 
 
 def links(docs: DataFrame, each: DataFrame, distinct: DataFrame, least: float, size: int, tile: int = 1024, tile_shingles: int = 1_000_000) -> DataFrame:
-    """Edges (u, v) that connect exactly the proposed sets whose similarity is `least` or more.
-
-    Texts of proposed sets alone are read again, one for each set; no set is stored or moved.
-    """
+    """Edges (u, v) that connect exactly the proposed sets whose similarity is `least` or more."""
     keys = each.select("fp", F.explode("bands").alias("key")).distinct()
     shared = keys.groupBy("key").agg(F.min("fp").alias("v"), F.max("fp").alias("w")).where("v <> w").select("key", "v")
-    groups = components(keys.join(shared, "key").select(F.col("fp").alias("u"), "v"))
-    groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("fp"), "root")
-    groups = cut(groups.join(distinct, "fp").select("sum", "root", "n"), "groups")
+    found = components(keys.join(shared, "key").select(F.col("fp").alias("u"), "v"))
+    found = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("fp"), "root")
+    return confirmed(docs, found.join(distinct, "fp").select("sum", "root", "n"), least, size, tile, tile_shingles)
+
+
+def confirmed(docs: DataFrame, groups: DataFrame, least: float, size: int, tile: int = 1024, tile_shingles: int = 1_000_000) -> DataFrame:
+    """Edges (u, v) that connect exactly the sets of one proposed group whose similarity is `least` or more.
+
+    `groups` has a row for each set: sum (a text that has it), root (its group) and n (its size). Texts of proposed sets alone
+    are read again, one for each set; no set is stored or moved.
+    """
+    groups = cut(groups, "groups")
     parts = groups.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / tile, F.sum("n") / tile_shingles)).cast("int").alias("parts"))
     rows = groups.join(parts, "root").withColumn("own", F.pmod(F.xxhash64("sum"), "parts").cast("int"))
     rows = rows.select("sum", "root", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))

@@ -3,13 +3,13 @@
 Two fingerprints within `radius` bits agree on all of some n - radius of n blocks of bits, so distinct fingerprints meet in
 buckets, one for each choice of blocks; n is 4 for radius 3 and grows with their number, so that buckets stay small. All
 choices are covered, so no link is lost. Inside a block of bucket rows, bit planes are stored vertically (bit b of 64
-fingerprints is one word), distances to many fingerprints advance together in carry-save counters, and a query is abandoned
-once all its distances exceed the radius. Buckets above `tile` rows are cut into tiles that cover every pair.
+fingerprints is one word), distances to many fingerprints advance together in carry-save counters, and a query's word of 64
+fingerprints is abandoned once all its distances exceed the radius. Buckets above `tile` rows are cut into tiles that cover every pair.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -69,49 +69,102 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
-    """Bit planes: row b packs bit b of all fingerprints into words, 64 to a word, filled up with zeros."""
+    """Bit planes: row b packs bit b of all fingerprints (of one or more words) into words, 64 to a word, filled up with zeros."""
+    fps = fps.reshape(len(fps), -1)
     n = -len(fps) % 64
-    bits = np.unpackbits(np.concatenate([fps, np.zeros(n, np.uint64)]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(np.concatenate([fps, np.zeros((n, fps.shape[1]), np.uint64)]).view(np.uint8), axis=1, bitorder="little")
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
 
 
+def _add(a: np.ndarray, b: np.ndarray, c: np.ndarray, carry: np.ndarray, half: np.ndarray) -> None:
+    """Carry-save adder of three bits, 64 times a word: the sum goes into `a`; `b` and `half` are overwritten."""
+    np.bitwise_xor(a, b, out=half)
+    np.bitwise_and(a, b, out=carry)
+    np.bitwise_and(half, c, out=b)
+    np.bitwise_or(carry, b, out=carry)
+    np.bitwise_xor(half, c, out=a)
+
+
 def within(fps: np.ndarray, queries: np.ndarray, radius: int) -> np.ndarray:
     """Bit matrix (queries by words over fps): set where the distance is at most `radius`.
 
-    Counters start at 2**k - 1 - radius, so a carry out of their k bits means that the radius is exceeded.
+    Eight planes at a time go through carry-save adders into counters that start at 2**k - 1 - radius, so a carry out of
+    their k bits means that the radius is exceeded. A query's word of 64 fingerprints is abandoned once all of them exceed it.
     """
     plane = planes(fps)
-    words = plane.shape[1]
-    k = max(1, radius.bit_length())
+    bits, words = plane.shape
+    k = max(3, radius.bit_length())
     start = (1 << k) - 1 - radius
     ones = np.uint64(0xFFFFFFFFFFFFFFFF)
-    out = np.zeros((len(queries), words), np.uint64)
-    alive = np.arange(len(queries))
+    own = np.unpackbits(np.ascontiguousarray(queries.reshape(len(queries), -1)).view(np.uint8), axis=1, bitorder="little")
+    flips = np.where(own.T.astype(bool), ones, np.uint64(0))
     counter = [np.full((len(queries), words), ones if start >> i & 1 else 0, np.uint64) for i in range(k)]
     over = np.zeros((len(queries), words), np.uint64)
     tail = len(fps) % 64
     if tail:
         over[:, -1] = ones << np.uint64(tail)
-    for b in range(BITS):
-        flip = np.where(queries[alive] >> np.uint64(b) & np.uint64(1), ones, np.uint64(0))[:, None]
-        carry = plane[b][None, :] ^ flip
-        for i in range(k):
-            counter[i], carry = counter[i] ^ carry, counter[i] & carry
-        over |= carry
-        if b % 8 == 7 and b < BITS - 1:
-            left = (over != ones).any(axis=1)
-            if not left.all():
-                alive, over, counter = alive[left], over[left], [c[left] for c in counter]
-                if not len(alive):
-                    return out
-    out[alive] = ~over
-    return out
-
-
-def local_roots(fps: np.ndarray, radius: int) -> np.ndarray:
-    """For each of the distinct fingerprints the position of the first one that it reaches by links among them."""
+    out = np.zeros(over.size, np.uint64)
+    cells = query = word = None
+
+    def load(b: int, into: np.ndarray) -> None:
+        if cells is None:
+            np.bitwise_xor(plane[b][None, :], flips[b][:, None], out=into)
+        else:
+            np.bitwise_xor(plane[b][word], flips[b][query], out=into)
+
+    free = [np.empty_like(over) for _ in range(7)]
+    for at in range(0, bits, 8):
+        x, y, half, carry, other, *fours = free
+        for b, four in zip((at, at + 4), fours, strict=True):
+            for pair, two in ((b, carry), (b + 2, other)):
+                load(pair, x)
+                load(pair + 1, y)
+                _add(counter[0], x, y, two, half)
+            _add(counter[1], carry, other, four, half)
+        _add(counter[2], *fours, carry, half)
+        for c in counter[3:]:
+            np.bitwise_and(c, carry, out=half)
+            np.bitwise_xor(c, carry, out=c)
+            carry, half = half, carry
+        np.bitwise_or(over, carry, out=over)
+        if radius < at + 8 < bits:
+            left = over != ones
+            n = np.count_nonzero(left)
+            if not n:
+                break
+            if 2 * n < left.size:
+                cells = np.flatnonzero(left) if cells is None else cells[left]
+                query, word = np.divmod(cells, words)
+                over, counter = over[left], [c[left] for c in counter]
+                free = [np.empty_like(over) for _ in range(7)]
+    out[slice(None) if cells is None else cells] = ~over.reshape(-1)
+    return out.reshape(len(queries), words)
+
+
+def _nearer(found: np.ndarray, whole: np.ndarray, queries: np.ndarray, radius: int) -> np.ndarray:
+    """The bit matrix `found` without the pairs whose whole fingerprints are more than `radius` bits apart."""
+    query, word = np.nonzero(found)
+    bits = np.unpackbits(found[query, word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    for at in range(0, len(bits), 65_536):
+        row, lane = np.nonzero(bits[at : at + 65_536])
+        row += at
+        far = np.bitwise_count(queries[query[row]] ^ whole[64 * word[row] + lane]).sum(axis=1) > radius
+        bits[row[far], lane[far]] = 0
+    found[query, word] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).reshape(-1)
+    return found
+
+
+def local_roots(fps: np.ndarray, radius: int, whole: np.ndarray | None = None, whole_radius: int = 0) -> np.ndarray:
+    """For each of the distinct fingerprints the position of the first one that it reaches by links among them.
+
+    Where `fps` are only the first words of fingerprints, `whole` has all words, which must be within `whole_radius` too.
+    """
     n = len(fps)
-    links = np.concatenate([within(fps, fps[at : at + 512], radius) for at in range(0, n, 512)])
+    parts = []
+    for at in range(0, n, 512):
+        found = within(fps, fps[at : at + 512], radius)
+        parts.append(found if whole is None else _nearer(found, whole, whole[at : at + 512], whole_radius))
+    links = np.concatenate(parts)
     root = np.arange(n)
     single = np.bitwise_count(links).sum(axis=1) <= 1
     seen = single.copy()
@@ -157,6 +210,16 @@ def links(distinct: DataFrame, radius: int = 3, tile: int = 8192, block: int = 1
         keys.append(F.struct(F.lit(c).alias("choice"), key.alias("key")))
     rows = distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.choice", "k.key")
     large = rows.groupBy("choice", "key").count().where(F.col("count") > tile).select("choice", "key", F.ceil(F.col("count") / tile).cast("int").alias("parts"))
+    return met(rows, large, lambda fps: local_roots(fps, radius), block)
+
+
+def met(rows: DataFrame, large: DataFrame, roots: Callable[[np.ndarray], np.ndarray], block: int) -> DataFrame:
+    """Edges (u, v) from each fingerprint to the one that `roots` gives it among the distinct ones of whole buckets.
+
+    Rows are (fp, choice, key); buckets in `large` (choice, key, parts) are cut into tiles that cover every pair. Where `fp` is
+    binary, of some words each, edges name fingerprints by their first words.
+    """
+    binary = rows.schema["fp"].dataType.simpleString() == "binary"
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     rows = rows.join(large, ["choice", "key"], "left").withColumn("own", F.coalesce(own, F.lit(0)))
     rows = rows.select("fp", "choice", "key", "own", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("other")).select("fp", "choice", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
@@ -164,20 +227,22 @@ def links(distinct: DataFrame, radius: int = 3, tile: int = 8192, block: int = 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def compare(parts: list[np.ndarray]) -> pa.RecordBatch:
-            fps = np.unique(np.concatenate(parts))
-            root = local_roots(fps, radius)
+            fps = np.unique(np.concatenate(parts), axis=0)
+            root = roots(fps)
             at = np.flatnonzero(root != np.arange(len(fps)))
-            return pa.RecordBatch.from_arrays([pa.array(fps[at].view(np.int64)), pa.array(fps[root[at]].view(np.int64))], ["u", "v"])
+            first = (fps[:, 0] if binary else fps).copy().view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(first[at]), pa.array(first[root[at]])], ["u", "v"])
 
         held: list[np.ndarray] = []
         last, size = None, 0
         for batch in batches:
-            fp = batch.column("fp").to_numpy().view(np.uint64)
+            if not batch.num_rows:
+                continue
+            fp = batch.column("fp")
+            fp = np.frombuffer(b"".join(fp.to_pylist()), np.uint64).reshape(len(fp), -1) if binary else fp.to_numpy().view(np.uint64)
             group = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("choice", "key", "i", "j")], 1)
             cuts = np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1
             for a, b in zip([0, *cuts], [*cuts, len(fp)], strict=True):
-                if a == b:
-                    continue
                 me = tuple(group[a])
                 # Whole buckets share a block: a link between two buckets' rows is a true link as well.
                 if me != last and size + (b - a) > block and size:
