@@ -191,7 +191,7 @@ class Encoder:
     empty or holds other white space has no ids of its own: its text is encoded as a whole, as are texts with special tokens.
     """
 
-    def __init__(self, path: str, memo: int = 250_000):
+    def __init__(self, path: str, memo: int = 500_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.most = Tokenizer.from_file(path), memo
@@ -206,8 +206,9 @@ class Encoder:
         self.first: dict[str, bytes | None] = {}
         self.later: dict[str, bytes | None] = {}
         self.line_end = self._ids(["\n"])[0]
-        #: Ids of whole pre-tokens, with the space before them.
+        #: Ids of whole pre-tokens, with the space before them: those met of late, and those met before; what is met again stays.
         self.pieces: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _ids(self, texts: list[str], words: bool = False) -> list[bytes]:
         tokenizer = self.words if words else self.tokenizer
@@ -292,15 +293,18 @@ class Encoder:
         coded = pieces.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         found = list(map(self.pieces.get, distinct))
-        new = [i for i, ids in enumerate(found) if ids is None]
+        new = []
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            found[i] = self.older.get(distinct[i])
+            if found[i] is None:
+                new.append(i)
+            else:
+                self.pieces[distinct[i]] = found[i]
         if new:
-            if len(self.pieces) + len(new) > self.most:
-                for part in [p for p in self.pieces if len(p) > 7]:
-                    del self.pieces[part]
-                if len(self.pieces) + len(new) > self.most:
-                    self.pieces.clear()
             for i, ids in zip(new, self._ids([distinct[i].decode() for i in new], True), strict=True):
                 found[i] = self.pieces[distinct[i]] = ids
+        if len(self.pieces) > self.most // 2:
+            self.pieces, self.older = {}, self.pieces
         gathered = pa.array(found, pa.large_binary()).take(coded.indices)
         bounds = np.frombuffer(gathered.buffers()[1], np.int64)[np.searchsorted(starts, offsets)].tolist() if len(starts) else [0] * len(offsets)
         ids = memoryview(gathered.buffers()[2] or b"")
@@ -351,7 +355,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         if tokenizer not in _ENCODERS:
             _ENCODERS[tokenizer] = Encoder(tokenizer)
-        for batch in slices(batches, "text", 4_000_000):
+        for batch in slices(batches, "text", 2_000_000):
             rows: list[tuple] = []
             for d, ids in enumerate(_ENCODERS[tokenizer].encode(pa.compute.fill_null(batch.column("text"), ""))):
                 ids += ends

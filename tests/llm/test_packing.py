@@ -61,6 +61,16 @@ def test_encoder_equals_the_library_on_any_plain_text(texts, memo):
     assert packing.plainly(packing.pa.array(texts, packing.pa.large_string())).all()
 
 
+def test_long_pieces_met_again_stay_in_the_memo(monkeypatch):
+    encoder = packing.Encoder(PATH, memo=20)
+    asked = []
+    real = encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda texts, words=False: asked.extend(texts) or real(texts, words))
+    for i in range(40):
+        encoder.encode([f"x extraordinary {'abcdefghij' * 2}{chr(97 + i % 26)}{chr(97 + i // 26)}"])
+    assert asked.count(" extraordinary") == 1 and len(encoder.pieces) + len(encoder.older) <= 24
+
+
 ENCODERS = {}
 
 
