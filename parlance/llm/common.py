@@ -66,8 +66,13 @@ def join_hot(df: DataFrame, side: DataFrame, on: list[str], weight: str, total:
 
     Keys of over max(least, total / max_rows) rows are met by broadcast: as the weights add up to `total`, there are at most
     `max_rows` of them, however large the tables. No other key has so many rows that one task could not take them.
+    `side` is cut, as it is read up to three times: else each reading would be a part of the plan, and the driver's memory grows
+    with plans. `df` is read twice where there are such keys.
     """
     bound = max(least, total // max_rows)
+    side = cut(side, "side")
+    if side.where(F.col(weight) > bound).isEmpty():
+        return df.join(side.drop(weight), on)
     hot, rest = side.where(F.col(weight) > bound).drop(weight), side.where(F.col(weight) <= bound).drop(weight)
     return df.join(F.broadcast(hot), on).unionByName(df.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on))
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .common import cut, slices, utf8
+from .common import cut, join_hot, slices, utf8
 from .graph import components
 from .simhash import SEED, named, shingle_hashes
 
@@ -111,8 +111,8 @@ def confirmed(docs: DataFrame, groups: DataFrame, least: float, size: int, tile:
     are read again, one for each set; no set is stored or moved.
     """
     groups = cut(groups, "groups")
-    parts = groups.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / tile, F.sum("n") / tile_shingles)).cast("int").alias("parts"))
-    rows = groups.join(parts, "root").withColumn("own", F.pmod(F.xxhash64("sum"), "parts").cast("int"))
+    parts = groups.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / tile, F.sum("n") / tile_shingles)).cast("int").alias("parts"), F.count("*").alias("members"))
+    rows = join_hot(groups, parts, ["root"], "members", groups.count()).withColumn("own", F.pmod(F.xxhash64("sum"), "parts").cast("int"))
     rows = rows.select("sum", "root", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     rows = rows.select("sum", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     wanted = groups.select("sum").distinct()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, utf8
+from .common import cut, join_hot, slices, utf8
 from .graph import components
 from .minhash import confirmed, set_hash, shingle_set
 from .simhash import BITS, SEED, local_roots, met, named
@@ -137,7 +137,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = distinct.where("n > 0")
     linked = components(proposals(sets.select("bits")))
     # Unlike sets with one first word are one node, linked or not.
-    rooted = sets.join(linked, "node", "left").select("sum", F.coalesce("root", "node").alias("root"), "n")
-    several = rooted.groupBy("root").count().where("count > 1").select("root")
-    found = components(confirmed(source, rooted.join(several, "root"), least, shingle))
+    rooted = cut(sets.join(linked, "node", "left").select("sum", F.coalesce("root", "node").alias("root"), "n"), "rooted")
+    several = rooted.groupBy("root").agg(F.count("*").alias("members")).where("members > 1")
+    found = components(confirmed(source, join_hot(rooted, several, ["root"], "members", rooted.count()), least, shingle))
     return named(each.select("doc_id", "sum", "fp"), distinct.select("fp", "least", "copies"), found).select("doc_id", "component_id", "sum", "root")

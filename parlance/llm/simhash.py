@@ -262,13 +262,13 @@ def named(each: DataFrame, distinct: DataFrame, linked: DataFrame) -> DataFrame:
 
     `distinct` has a row for each fp with its least id and its number of copies; an fp of many copies is met by broadcast.
     """
-    members = linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct())
+    members = cut(linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct()), "members")
     inside = members.join(distinct.select("fp", "least"), members["node"] == distinct["fp"])
     names = inside.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
     known = join_hot(members, names, ["root"], "size", members.count()).select(F.col("node").alias("fp"), "root", "component_id", F.lit(True).alias("known"))
     own = F.when(F.col("known"), F.col("component_id")).otherwise(F.col("least"))
-    labels = cut(distinct.join(known, "fp", "left").select("fp", "copies", F.coalesce("root", "fp").alias("root"), own.alias("component_id")), "labels")
-    return join_hot(each, labels, ["fp"], "copies", labels.agg(F.sum("copies")).first()[0] or 0)
+    labels = distinct.join(known, "fp", "left").select("fp", "copies", F.coalesce("root", "fp").alias("root"), own.alias("component_id"))
+    return join_hot(each, labels, ["fp"], "copies", distinct.agg(F.sum("copies")).first()[0] or 0)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
